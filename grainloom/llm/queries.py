@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language, mixing, quality, toxicity
+from . import decontaminate, exact_dedup, jaccard_join, language, mixing, quality, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_quality": quality.query,
     "op3_language": language.query,
     "op4_decontamination": decontaminate.query,
+    "op5_jaccard_join": jaccard_join.query,
     "op7_exact_dedup": exact_dedup.query,
     "op9_toxicity": toxicity.query,
 }
 ORACLE = {
     "op4_decontamination": decontaminate.ORACLE,
+    "op5_jaccard_join": jaccard_join.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
 }
