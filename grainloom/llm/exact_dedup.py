@@ -49,7 +49,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.row_number().over(whole.orderBy(*order)).alias("_first"),
         )
     )
-    at = (F.col("_sha") == F.col("_sha2")) & (F.col("_salt") == F.col("_salt2"))
+    # null-safe, so that no filter goes below one of the two uses of the first sort and Spark runs it once
+    at = F.col("_sha").eqNullSafe(F.col("_sha2")) & F.col("_salt").eqNullSafe(F.col("_salt2"))
     return (
         sorted_once.select("_id", "_sha", "_salt", "_rank")
         .join(firsts, at)
