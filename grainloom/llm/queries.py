@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, jaccard_join, language, mixing, quality, toxicity
+from . import decontaminate, exact_dedup, jaccard_join, language, line_dedup, mixing, quality, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_decontamination": decontaminate.query,
     "op5_jaccard_join": jaccard_join.query,
     "op7_exact_dedup": exact_dedup.query,
+    "op8_line_dedup": line_dedup.query,
     "op9_toxicity": toxicity.query,
 }
 ORACLE = {
