@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, jaccard_join, language, line_dedup, mixing, quality, toxicity
+from . import decontaminate, exact_dedup, jaccard_join, language, licenses, line_dedup, mixing, quality, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_exact_dedup": exact_dedup.query,
     "op8_line_dedup": line_dedup.query,
     "op9_toxicity": toxicity.query,
+    "op10_licenses": licenses.query,
 }
 ORACLE = {
     "op4_decontamination": decontaminate.ORACLE,
