@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, jaccard_join, language, licenses, line_dedup, mixing, quality, toxicity
+from . import decontaminate, exact_dedup, html_text, jaccard_join, language, licenses, line_dedup, mixing, quality, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_language": language.query,
     "op4_decontamination": decontaminate.query,
     "op5_jaccard_join": jaccard_join.query,
+    "op6_html_text": html_text.query,
     "op7_exact_dedup": exact_dedup.query,
     "op8_line_dedup": line_dedup.query,
     "op9_toxicity": toxicity.query,
