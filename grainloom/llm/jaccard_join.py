@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import WordHashes, shingles, table, written
+from .common import shingle_sets, table, written
 from .components import components
 
 SHINGLE = 5
@@ -37,7 +37,7 @@ HOT, MOST_HOT = 24, 200_000
 #: Shingles counted together in a task; what occurs less than twice in such a chunk isn't a candidate for HOT.
 CHUNK = 4_000_000
 #: Rounds in which documents are compared with one member of a list.
-ROUNDS = 3
+ROUNDS = 2
 #: Buckets of ids by which texts are filtered before they are shuffled.
 BUCKETS = 1 << 20
 
@@ -49,7 +49,7 @@ def threshold(n: int) -> int:
 
 def frequent(batches, k: int):
     """Shingles with 3 documents or more in a chunk of a task's rows, with their numbers."""
-    hashes, sets, seen, total = WordHashes(), [], set(), 0
+    sets, seen, total = [], set(), 0
 
     def counted():
         t, n = np.unique(np.concatenate(sets), return_counts=True)
@@ -57,8 +57,7 @@ def frequent(batches, k: int):
         return pa.RecordBatch.from_arrays([pa.array(t[ok].view(np.int64)), pa.array(n[ok])], ["t", "n"])
 
     for batch in batches:
-        for text in batch.column(0):
-            s = shingles(text.as_py(), hashes, k)
+        for s in shingle_sets(batch.column(0), k):
             sign = xxhash.xxh3_64_intdigest(s.tobytes())
             if not len(s) or sign in seen:
                 continue
@@ -86,12 +85,10 @@ def indexed(batches, k: int, hot):
 
     In a batch, copies of a set have their short lists once.
     """
-    hashes = WordHashes()
     tokens, counts = hot.value
     for batch in batches:
         n, s1, s2, short, seen = [], [], [], [], set()
-        for text in batch.column(1):
-            s = shingles(text.as_py(), hashes, k)
+        for s in shingle_sets(batch.column(1), k):
             d = xxhash.xxh3_128_digest(s.tobytes())
             own = s[:0]
             if len(s) and d not in seen:
@@ -115,20 +112,9 @@ def indexed(batches, k: int, hot):
 
 def probed(batches, k: int):
     """The pairs whose sets share T shingles or more: a's shingles are looked up in b by binary search."""
-    hashes, kept = WordHashes(), {}
-
-    def of(doc: int, text: str) -> np.ndarray:
-        if doc not in kept:
-            if len(kept) >= 256:
-                kept.clear()
-            kept[doc] = shingles(text, hashes, k)
-        return kept[doc]
-
     for batch in batches:
-        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         ok = []
-        for i, (x, y) in enumerate(zip(a, b, strict=True)):
-            p, q = shingles(batch.column(2)[i].as_py(), hashes, k), of(y, batch.column(3)[i].as_py())
+        for p, q in zip(shingle_sets(batch.column(2), k), shingle_sets(batch.column(3), k), strict=True):
             if len(p) > len(q):
                 p, q = q, p
             at = np.searchsorted(q, p)
