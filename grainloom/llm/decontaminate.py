@@ -28,7 +28,7 @@ WINDOW = 13
 SHINGLE = 4
 BLOCK_CHARS = 32_000_000
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-STATE = "doc_id long, text string, _spans binary, _items array<string>"
+STATE = "_spans binary, _items array<string>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -168,20 +168,25 @@ def blocks(benchmark: DataFrame, block_chars: int):
         yield [(r["id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("id"), F.lit(n)) == b).distinct().collect()]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of each document."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_chars: int = BLOCK_CHARS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of each document, and the columns to keep."""
     spark = docs.sparkSession
-    todo = [items for items in blocks(benchmark, block_chars)]
-    rows = docs.select("doc_id", "text")
+    todo = list(blocks(benchmark, block_chars))
+    rows = docs.select("doc_id", "text", *(F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep) if c not in ("doc_id", "text")))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    with_text = "text" in keep
     for b, items in enumerate(todo):
         windows = Windows(items, window, shingle)
         counts = corpus_counts(docs, spark.sparkContext.broadcast(windows)) if windows.codes else {}
         windows.order(counts)
-        rows = rows.mapInArrow(scan(spark.sparkContext.broadcast(windows), b == 0, b == len(todo) - 1), SCHEMA if b == len(todo) - 1 else STATE)
-    return rows
+        last = b == len(todo) - 1
+        own = [f for f in rows.schema.fields if f.name.startswith("_keep_") or f.name == "text" and with_text]
+        more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in own)
+        rows = rows.mapInArrow(scan(spark.sparkContext.broadcast(windows), b == 0, last, [f.name for f in own]), SCHEMA + more if last else f"{kept}, {STATE}")
+    return rows.withColumnsRenamed({f"_keep_{i}": c for i, c in enumerate(keep)})
 
 
-def scan(shared, first: bool, last: bool):
+def scan(shared, first: bool, last: bool, keep: list[str]):
     def run(batches):
         w: Windows = shared.value
         for batch in batches:
@@ -193,16 +198,18 @@ def scan(shared, first: bool, last: bool):
                 s, own = w.hits(numbers)
                 own = {w.items[i] for i in own}
                 if not first:
-                    s = np.concatenate([np.frombuffer(batch.column(2)[row].as_py(), np.int64).reshape(-1, 2), s])
-                    own |= set(batch.column(3)[row].as_py())
+                    s = np.concatenate([np.frombuffer(batch.column("_spans")[row].as_py(), np.int64).reshape(-1, 2), s])
+                    own |= set(batch.column("_items")[row].as_py())
                 n_words.append(len(numbers))
                 spans.append(s)
                 items.append(own)
             if last:
-                yield digest(ids, n_words, spans, items)
+                out = digest(ids, n_words, spans, items)
+                yield pa.RecordBatch.from_arrays([*out.columns, *(batch.column(n) for n in keep)], [*out.schema.names, *keep])
             else:
                 state = [pa.array([np.unique(s, axis=0).tobytes() for s in spans], pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([ids, batch.column(1), *state], ["doc_id", "text", "_spans", "_items"])
+                names = [n for n in batch.schema.names if n not in ("_spans", "_items")]
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *state], [*names, "_spans", "_items"])
 
     return run
 
