@@ -55,18 +55,31 @@ ANCHORS = (
     "license licensed licence licenced licenses agpl gpl lgpl mpl bsd mit apache gnu affero lesser mozilla cc cc0 nc sa spdx identifier creative commons attribution "
     "noncommercial sharealike public domain copyright rights reserved permission permitted redistribution redistribute proprietary confidential granted waived reproduced"
 ).split()
+SEPARATOR = "[^a-z0-9]+"
+SURE, CONFIRMED = 0.5, 0.6
+VARIATIONS = 24
+SEPARATOR = "[^a-z0-9]+"
 SURE, CONFIRMED = 0.5, 0.6
 VARIATIONS = 24
 #: One of the anchors as a word of a lower-case text; by first letter, so that most words are left at once.
 HAS = "(?<![a-z0-9])(?:" + "|".join(f"{c}(?:{'|'.join(w[1:] for w in sorted(ANCHORS) if w[0] == c)})" for c in sorted({w[0] for w in ANCHORS})) + ")(?![a-z0-9])"
 
 
+def has_anchor(text: Column) -> Column:
+    return F.arrays_overlap(F.split(text, SEPARATOR), F.array(*(F.lit(a) for a in ANCHORS)))
+
+
 def grams(text: Column) -> Column:
-    """Distinct word 1- and 2-grams that hold an anchor word."""
-    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
-    pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))
-    both = F.concat(words, F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<string>")))
-    return F.array_distinct(F.filter(both, lambda g: F.exists(F.split(g, " "), lambda w: w.isin(*ANCHORS))))
+    """Distinct word 1- and 2-grams of a lower-case text that hold an anchor word."""
+
+    def of(words: Column) -> Column:
+        one = F.filter(words, lambda w: w.isin(*ANCHORS))
+        two = F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.when(a.isin(*ANCHORS) | b.isin(*ANCHORS), F.concat(a, F.lit(" "), b)))
+        return F.array_distinct(F.concat(one, F.array_compact(two)))
+
+    words = F.filter(F.split(text, SEPARATOR), lambda w: w != "")
+    # inside a lambda the words are one value; as an expression they would be split anew for each of them
+    return F.flatten(F.transform(F.array(words), of))
 
 
 def rows_of(spark: SparkSession, values: list[dict], schema: str) -> DataFrame:
@@ -92,7 +105,7 @@ def examples(seed: int = 11) -> list[dict]:
 @lru_cache(maxsize=1)
 def trained(spark: SparkSession) -> tuple[list[dict], list[float]]:
     """Weights of n-grams by class, and the intercepts, both divided by the temperature. Fitted once a session."""
-    data = rows_of(spark, examples(), "label double, text string, apart boolean").withColumn("grams", grams(F.col("text"))).cache()
+    data = rows_of(spark, examples(), "label double, text string, apart boolean").withColumn("grams", grams(F.lower("text"))).cache()
     vectors = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=2.0).fit(data)
     model = LogisticRegression(family="multinomial", regParam=0.002, elasticNetParam=0.2, maxIter=60).fit(vectors.transform(data.where(~F.col("apart"))))
     w, b = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
@@ -128,10 +141,11 @@ def licenses(docs: DataFrame, sure: float = SURE, confirmed: float = CONFIRMED)
     templates = rows_of(spark, [{"gram": g, "template": i, "share": 1 / len(own)} for i, (_, own) in enumerate(notices) for g in sorted(own)], "gram string, template int, share double")
     family_of = F.array(*(F.lit(f) for f, _ in notices))
 
-    lower = docs.where("doc_id is not null").select("doc_id", F.lower("text").alias("low")).where(F.col("low").rlike(HAS))
+    lower = docs.where("doc_id is not null").select("doc_id", F.lower("text").alias("low")).where(has_anchor(F.col("low")))
     found = lower.select("doc_id", F.posexplode(F.split("low", "\n")).alias("paragraph", "p"))
-    found = found.where(F.col("p").rlike(HAS)).withColumn("g", grams(F.col("p")))
-    one = found.select("doc_id", "paragraph", F.explode("g").alias("gram")).distinct()
+    # n-grams are made of paragraphs with an anchor only, also where Spark asks for their number before the filter
+    own = F.when(has_anchor(F.col("p")), grams(F.col("p"))).otherwise(F.array().cast("array<string>"))
+    one = found.select("doc_id", "paragraph", F.explode(own).alias("gram")).distinct()
     n = len(families)
     scores = one.join(F.broadcast(vocabulary), "gram").groupBy("doc_id", "paragraph").agg(*(F.sum(F.col("w")[c]).alias(f"z{c}") for c in range(n)))
     z = F.array(*(F.col(f"z{c}") + F.lit(intercepts[c]) for c in range(n)))
