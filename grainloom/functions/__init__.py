@@ -1 +1,27 @@
+"""Expressions that models and checks use beside Spark's own."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column, functions as F
+
+
+def fnv1a(text: Column) -> Column:
+    """FNV-1a, 32 bits, of the UTF-8 bytes of a text."""
+    hexes = F.hex(F.encode(text, "UTF-8"))
+    at = F.sequence(F.lit(1), F.length(hexes), F.lit(2))
+    step = lambda h, i: ((h.bitwiseXOR(F.conv(F.substring(hexes, i, F.lit(2)), 16, 10).cast("long"))) * 16777619).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.when(text.isNull(), None).when(text == "", F.lit(2166136261)).otherwise(F.aggregate(at, F.lit(2166136261).cast("long"), step))
+
+
+def bucket(text: Column, n: int = 100) -> Column:
+    return fnv1a(text) % n
+
+
+def normalised(v: Column) -> Column:
+    """A vector of length 1; one of length 0 stays."""
+    size = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return F.transform(v, lambda x: F.when(size > 0, x.cast("double") / size).otherwise(F.lit(0.0)))
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
