@@ -12,19 +12,21 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
 
     In a large star every id tells its larger neighbours its smallest one, in a small star its smaller ones; both
     only take minima by key, so an id with very many links is aggregated before it is shuffled. Each round is
-    written to the shared folder; the rounds end when the links no longer change.
+    written to the shared folder; the rounds end when all links go from a member to its component's smallest id.
     """
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-    mark = None
-    while True:
+    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), name)
+    while not stars(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         edges = written(small.distinct(), name)
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == mark or not now[0]:
-            break
-        mark = now
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
+
+
+def stars(edges: DataFrame) -> bool:
+    """Whether every u has one v, and no v is a u."""
+    twice = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("u")
+    inner = edges.select(F.col("v").alias("u")).join(edges.select("u"), "u", "left_semi")
+    return not twice.union(inner).head(1)

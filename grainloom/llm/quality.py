@@ -160,14 +160,14 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
 
 def judged(batches, model, names):
     for batch in batches:
-        score = np.clip(model.value.score(values(batch.select(["_text", "_lang", "_source"]).rename_columns(["text", "lang", "source"]).to_pandas())), 0, 1)
+        score = np.clip(model.value.score(values(batch.select(["__op_text", "__op_lang", "__op_source"]).rename_columns(["text", "lang", "source"]).to_pandas())), 0, 1)
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(score, pa.float64())], [*names, "quality_score"])
 
 
 def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), accept: float = ACCEPT, **how) -> DataFrame:
     """The columns to keep with quality_score (0 to 1) and accepted, for each document."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **how))
-    rows = docs.select(*keep, *(F.col(c).alias(f"_{c}") for c in ("text", "lang", "source")))
+    rows = docs.select(*keep, *(F.col(c).alias(f"__op_{c}") for c in ("text", "lang", "source")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)]) + ", quality_score double"
     out = rows.mapInArrow(partial(judged, model=model, names=list(keep)), schema)
     return out.withColumn("accepted", F.col("quality_score") >= accept)
