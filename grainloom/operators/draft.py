@@ -118,7 +118,7 @@ def draft(tables: dict[str, DataFrame], keys: dict[str, str] | None = None, refe
 
 def expressible(tree: dict) -> str:
     """Whether a parsed question fits the contract: the first reason why it doesn't, or expressible."""
-    if any(tree.get(k) for k in ("union", "intersect", "except")):
+    if any(tree.get(k) is not None for k in ("union", "intersect", "except")):
         return "set_operation"
     if any(isinstance(u, (list, tuple)) and u and u[0] == "sql" for u in (tree.get("from") or {}).get("table_units", [])):
         return "nested_from"

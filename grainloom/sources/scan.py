@@ -12,6 +12,7 @@ import urllib.request
 from collections.abc import Callable, Iterator
 
 import yaml
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -63,10 +64,14 @@ def objects(spark: SparkSession, prefix: str) -> DataFrame:
     parts = []
     for kind in ("csv", "json", "jsonl"):
         reader = spark.read.option("pathGlobFilter", f"*.{kind}").option("recursiveFileLookup", True)
-        df = reader.option("header", True).csv(prefix) if kind == "csv" else reader.option("multiLine", kind == "json").json(prefix)
-        if df.columns:
-            df = df.withColumn("_object", F.col("_metadata.file_path"))
-            parts.append(flatten(df).select(*(F.col(f"`{c}`").cast("string").alias(c) for c in df.columns if not isinstance(df.schema[c].dataType, T.StructType)), *[F.col(f"`{c}`").cast("string").alias(c) for c in flatten(df).columns if c not in df.columns]))
+        try:
+            df = reader.option("header", True).csv(prefix) if kind == "csv" else reader.option("multiLine", kind == "json").json(prefix)
+        except AnalysisException as e:
+            if e.getCondition() != "UNABLE_TO_INFER_SCHEMA":  # no such files
+                raise
+            continue
+        flat = flatten(df.withColumn("_object", F.col("_metadata.file_path")))
+        parts.append(flat.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in flat.columns)))
     if not parts:
         raise Refused(f"no CSV or JSON files under {prefix}")
     out = parts[0]
