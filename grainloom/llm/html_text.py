@@ -20,6 +20,7 @@ import zlib
 from functools import lru_cache, partial
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
@@ -369,8 +370,8 @@ def trained(pages: int = PAGES, epochs: int = EPOCHS, seed: int = 21) -> BiLstm:
 
 def main_text(batches, model, chunk: int = 48):
     net, features = model.value, Features()
-    for pdf in batches:
-        pages = [blocks(p) if isinstance(p, str) else [] for p in pdf["html"]]
+    for batch in batches:
+        pages = [blocks(p) for p in batch.column("html").to_pylist()]
         text = [""] * len(pages)
         order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: len(pages[i]))
         at = 0
@@ -383,13 +384,14 @@ def main_text(batches, model, chunk: int = 48):
             p = net.predict(x, real)
             for c, i in enumerate(own):
                 text[i] = "\n\n".join(b.text for b, v in zip(pages[i], p[:, c], strict=False) if v >= 0.5)
-        yield pdf[["page_id", "url"]].assign(text=text, n_chars=[len(t) for t in text])
+        own = [batch.column("page_id"), batch.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())]
+        yield pa.RecordBatch.from_arrays(own, ["page_id", "url", "text", "n_chars"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each page."""
     model = pages.sparkSession.sparkContext.broadcast(trained())
-    return pages.select("page_id", "url", "html").mapInPandas(partial(main_text, model=model), "page_id long, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInArrow(partial(main_text, model=model), "page_id long, url string, text string, n_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

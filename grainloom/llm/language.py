@@ -17,6 +17,7 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from .common import table
@@ -127,8 +128,9 @@ class Net:
             g["X" + d], g["U" + d], g["c" + d] = dx.T, du, dc
         return loss, g
 
-    def train(self, words: list[bytes], labels: np.ndarray, epochs: int = 4, batch: int = 512, rate: float = 0.02, seed: int = 7) -> float:
-        """Adam over shuffled batches; the last epoch's mean loss."""
+    def train(self, words: list[bytes], labels: np.ndarray, steps: int = 500, batch: int = 512, rate: float = 0.02, seed: int = 7) -> float:
+        """Adam over shuffled batches, as many steps for few words as for many; the last epoch's mean loss."""
+        epochs = max(3, -(-steps * batch // max(1, len(words))))
         order = np.random.default_rng(seed)
         m1 = {k: np.zeros_like(v) for k, v in self.p.items()}
         m2 = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -143,7 +145,7 @@ class Net:
                 loss, g = self.gradients(x, real, labels[b])
                 losses.append(loss)
                 step += 1
-                lr = rate * (0.5**e)
+                lr = rate * 0.06 ** (e / epochs)
                 for k, v in g.items():
                     np.clip(v, -1, 1, out=v)
                     m1[k] += 0.1 * (v - m1[k])
@@ -209,12 +211,13 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_words: int = TRAIN_
 
 def identify(batches, shared):
     langs, net = shared.value
-    for pdf in batches:
+    for batch in batches:
         lang, score = [], []
         seen: dict[bytes, int] = {}
         rows = []
-        for text in pdf["text"]:
-            ok = net is not None and isinstance(text, str) and LETTER.search(text)
+        for text in batch.column("text"):
+            text = text.as_py()
+            ok = net is not None and text is not None and LETTER.search(text)
             own = words_of(text) if ok else []
             rows.append(np.fromiter((seen.setdefault(w, len(seen)) for w in own), np.int64, len(own)) if ok else None)
         table = net.pooled(list(seen)) if net is not None else None
@@ -226,15 +229,16 @@ def identify(batches, shared):
             p = table[own].sum(axis=0, dtype=np.float64)
             p /= p.sum()
             lang.append(langs[int(p.argmax())])
-            score.append(float(p.max()))
-        yield pdf[["doc_id", "held_out"]].assign(lang_pred=lang, score=np.clip(np.array(score, float), 0, 1))
+            score.append(min(1.0, float(p.max())))
+        own = [batch.column("doc_id"), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(score, pa.float64())]
+        yield pa.RecordBatch.from_arrays(own, ["doc_id", "held_out", "lang_pred", "score"])
 
 
 def predict(docs: DataFrame, **how) -> DataFrame:
     """doc_id, held_out, lang_pred and score of each document."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, **how))
     rows = docs.select("doc_id", "text", held_out("doc_id").alias("held_out"))
-    return rows.mapInPandas(partial(identify, shared=shared), "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(partial(identify, shared=shared), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ gradient is reversed, as the non-negative estimator asks. Only rows of the train
 texts; at most POSITIVES and UNLABELLED rows are used, the first by a hash of their id.
 
 Defined cases: null and empty texts get the score of a text without words; null labels are no labels; a document
-labelled twice counts as toxic if any label says so; without positives every score is 0; repeated rows give
+labelled twice counts as toxic if any label says so; without positives every score is 0, without unlabelled
+texts it is the class prior; repeated rows give
 repeated rows; extra columns are ignored.
 """
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 from functools import partial
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import ALNUM, WordHashes, table
@@ -59,7 +61,9 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     sample = rows.mapInPandas(hashed, "doc_id long, toxic int, words binary").toPandas().sort_values("doc_id", kind="stable")
     sets = [np.frombuffer(b, np.uint64) for b in sample["words"]]
     y = sample["toxic"].to_numpy() == 1
-    n_pos, n_un = max(1, y.sum()), max(1, (~y).sum())
+    if not y.any() or y.all():  # nothing to tell apart
+        return {}, (float(np.log(prior / (1 - prior))) if 0 < prior < 1 else 20.0) if y.any() else -20.0
+    n_pos, n_un = y.sum(), (~y).sum()
     vocab, at = np.unique(np.concatenate(sets), return_inverse=True)
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     in_pos = np.bincount(at[y[row]], minlength=len(vocab))
@@ -109,15 +113,16 @@ class Weights(dict):
 def scored(batches, model):
     by_hash, bias = model.value
     weights = Weights(by_hash)
-    for pdf in batches:
-        s = sigmoid(np.array([sum(map(weights.__getitem__, sorted(words_of(t)))) + bias for t in pdf["text"]], float))
-        yield pdf[["doc_id", "held_out"]].assign(score=s, predicted=(s >= 0.5).astype("int32"))
+    for batch in batches:
+        s = sigmoid(np.array([sum(map(weights.__getitem__, sorted(words_of(t)))) + bias for t in batch.column("text").to_pylist()], float))
+        own = [batch.column("doc_id"), batch.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))]
+        yield pa.RecordBatch.from_arrays(own, ["doc_id", "held_out", "score", "predicted"])
 
 
 def score(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """doc_id, held_out, score and predicted of each document."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **how))
-    return docs.select("doc_id", "text", held_out().alias("held_out")).mapInPandas(
+    return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(
         partial(scored, model=model), "doc_id long, held_out boolean, score double, predicted int"
     )
 
