@@ -27,6 +27,8 @@ LONGEST = 24
 TRAIN_DOCS = 250
 TRAIN_WORDS = 50
 MOST_LANGS = 64
+#: Documents whose words are read together.
+ROWS = 2000
 LETTER = re.compile(r"[^\W\d_]")
 STEPS = (6, 9, 12, 16, LONGEST + 2)
 
@@ -211,7 +213,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_words: int = TRAIN_
 
 def identify(batches, shared):
     langs, net = shared.value
-    for batch in batches:
+    for batch in (b.slice(i, ROWS) for b in batches for i in range(0, max(1, b.num_rows), ROWS)):
         lang, score = [], []
         seen: dict[bytes, int] = {}
         rows = []
