@@ -71,7 +71,7 @@ def runs(h: np.ndarray, k: int) -> np.ndarray:
 BLANKS = np.frombuffer(bytes(32 if c == 32 or 9 <= c <= 13 else LOWER[c] for c in range(256)), np.uint8)
 LINES = np.where(np.arange(256) == 10, 10, BLANKS).astype(np.uint8)
 BASE = 0xA24BAED4963EE407
-SLICE = 4_000_000
+SLICE, ROWS = 1_000_000, 1024
 
 
 class Powers:
@@ -95,7 +95,12 @@ def word_slices(column: pa.Array, lookup: np.ndarray = BLANKS, most: int = SLICE
 
     If lookup keeps line ends, they separate words too. A slice has `most` bytes or one row. A word's hash is its polynomial in BASE, whatever its place is.
     """
-    column = column.fill_null("").cast(pa.large_string())
+    for at in range(0, len(column), ROWS):  # so that little is copied at a time
+        for r, to, *own in _slices(column.slice(at, ROWS).fill_null("").cast(pa.large_string()), lookup, most):
+            yield at + r, at + to, *own
+
+
+def _slices(column: pa.LargeStringArray, lookup: np.ndarray, most: int):
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     r = 0

@@ -128,10 +128,11 @@ def test_shingles_are_exact():
     assert len(np.intersect1d(a, b)) == 16
 
 
-def test_components(spark):
+@pytest.mark.parametrize("chunk", [5, 100_000])
+def test_components(spark, chunk):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 95), (7, 7), (200, 201), (201, 202), (202, 200)]
-    got = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
-    assert got == {**{i: 1 for i in range(1, 41)}, 90: 90, 95: 90, 100: 90, 200: 200, 201: 200, 202: 200}
+    got = dict(components(spark.createDataFrame(links, "a long, b long").repartition(6), chunk=chunk).collect())
+    assert got == {**{i: 1 for i in range(1, 41)}, 7: 1, 90: 90, 95: 90, 100: 90, 200: 200, 201: 200, 202: 200}
 
 
 def test_line_dedup(docs, empty, spark):
