@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -399,7 +399,7 @@ def _(spark, d):
 # streaming
 @query("stream_cursor_sync", "SELECT event_id, user_id, event_type, round(value, 4) AS value FROM events")
 def _(spark, d):
-    tmp = tempfile.mkdtemp(dir=shared(spark))
+    tmp = f"{shared(spark)}/{uuid.uuid4().hex}"
     e = table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
     state = StateTable(spark, f"{tmp}/cursors", sync.CURSORS)
     middle = e.agg(F.percentile_approx("event_id", 0.5)).first()[0]
@@ -410,7 +410,7 @@ def _(spark, d):
 
 @query("stream_foreach_batch_upsert", "SELECT DISTINCT event_id, event_type FROM events WHERE event_type IS NOT NULL")
 def _(spark, d):
-    tmp = tempfile.mkdtemp(dir=shared(spark))
+    tmp = f"{shared(spark)}/{uuid.uuid4().hex}"
     e = table(spark, d, "events").select("event_id", "event_type")
     for part in range(2):  # the second file repeats half of the first
         e.where(F.col("event_id") % 4 >= 2 * part - 1).coalesce(1).write.mode("append").parquet(f"{tmp}/in")
@@ -420,10 +420,8 @@ def _(spark, d):
 
 
 def shared(spark: SparkSession) -> str:
-    path = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = path.removeprefix("file://").removeprefix("file:")
-    os.makedirs(path, exist_ok=True)
-    return path
+    """The folder that all executors see; only where none is set, one of our own."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
 
 
 # extensions
