@@ -10,8 +10,11 @@ What the corpus may hold much of is kept out of the pairs, and no link is lost:
 - shingles in very many documents (counted over the whole corpus) come last in the common order, so they are long
   lists; the order decides what is merged and what is probed, never the result;
 - since a component is asked for, documents that are known to be in one component need no link between them: in a
-  few rounds each document is compared with one member of a list it shares, and then all remaining pairs of
-  different components are merged and probed.
+  few rounds each document is compared with a leader of a list it shares, the one whose lists are longest at first,
+  and then all remaining pairs of different components are merged and probed;
+- what two documents have in common with the same leader bounds what they have in common: at most the smaller of the
+  two overlaps inside the leader, and the smaller of the two rests outside of it. Pairs below T by this bound can't
+  link, so the outliers of a large group aren't probed against all of it.
 
 Defined cases: null or blank text has no shingles and links with nothing; a text of fewer than five words has one
 shingle; equal sets link; a row without an id has no component; rows that repeat an id and its text are one document,
@@ -35,7 +38,7 @@ SHINGLE = 5
 #: Shingles with more documents than HOT are put last, MOST_HOT of them at most (3 MB to each task).
 HOT, MOST_HOT = 24, 200_000
 #: Shingles counted together in a task; what occurs less than twice in such a chunk isn't a candidate for HOT.
-CHUNK = 4_000_000
+CHUNK = 1_500_000
 #: Rounds in which documents are compared with one member of a list.
 ROUNDS = 2
 #: Buckets of ids by which texts are filtered before they are shuffled.
@@ -111,28 +114,38 @@ def indexed(batches, k: int, hot):
 
 
 def probed(batches, k: int):
-    """The pairs whose sets share T shingles or more: a's shingles are looked up in b by binary search."""
+    """a, b, how many shingles they share, by binary search of the smaller set's in the larger, b's size, and if they link."""
     for batch in batches:
-        ok = []
+        shared, sizes, ok = [], [], []
         for p, q in zip(shingle_sets(batch.column(2), k), shingle_sets(batch.column(3), k), strict=True):
+            sizes.append(len(q))
             if len(p) > len(q):
                 p, q = q, p
             at = np.searchsorted(q, p)
             at[at == len(q)] = 0
             both = int((q[at] == p).sum()) if len(p) else 0
+            shared.append(both)
             ok.append(both > 0 and 100 * both >= 75 * (len(p) + len(q) - both))
-        keep = np.flatnonzero(ok)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep))], ["a", "b"])
+        own = [batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ok, pa.bool_())]
+        yield pa.RecordBatch.from_arrays(own, ["a", "b", "shared", "size", "ok"])
 
 
-def linked(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """The pairs (a, b) that link. Only texts in the pairs' buckets of ids are shuffled."""
+def compared(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """The pairs (a, b) with what they share. Only texts in the pairs' buckets of ids are shuffled."""
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int").alias("bucket")
     used = pairs.select(bucket("a")).union(pairs.select(bucket("b"))).distinct()  # BUCKETS rows at most
     texts = docs.select("doc_id", "text", bucket("doc_id")).join(F.broadcast(used), "bucket", "left_semi")
     one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(partial(probed, k=k), "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(partial(probed, k=k), "a long, b long, shared long, size long, ok boolean")
+
+
+def led(seen: DataFrame, r: int) -> DataFrame:
+    """Of each document of a round its leader and what they share; a leader that follows none leads itself."""
+    names = ("id", f"lead{r}", f"in{r}")
+    followers = seen.groupBy("a").agg(F.first("b").alias("b"), F.first("shared").alias("shared")).toDF(*names)
+    leaders = seen.groupBy("b").agg(F.first("size").alias("size")).select("b", F.col("b").alias("b2"), "size").toDF(*names)
+    return followers.union(leaders.join(followers, "id", "left_anti").select(*names))
 
 
 def alike_sizes(n: Column, m: Column) -> Column:
@@ -150,25 +163,32 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, hot: int = HOT, most_h
     # lists with two sets or more
     tokens = own.where(F.size("short") > 0).select("s1", "s2", "n", F.explode("short").alias("t"))
     by_t = W.partitionBy("t")
-    tokens = tokens.withColumns({"lo": F.min("s1").over(by_t), "hi": F.max("s1").over(by_t)}).where("lo != hi")
-    lists = written(tokens.join(first, ["s1", "s2"]).select("t", "rep", "n").distinct(), "shingle-lists")
-    links = None
-    comp = None
+    tokens = tokens.withColumns({"lo": F.min("s1").over(by_t), "hi": F.max("s1").over(by_t), "k": F.count(F.lit(1)).over(by_t)}).where("lo != hi")
+    lists = written(tokens.join(first, ["s1", "s2"]).groupBy("t", "rep", "n").agg(F.max("k").alias("k")), "shingle-lists")
+    weight = lists.groupBy("rep").agg(F.sum("k").alias("weight"))
+    links = comp = None
+    leads = []
     for r in range(rounds + 1):
-        entries = lists.withColumn("c", F.col("rep")) if comp is None else lists.join(comp, lists["rep"] == comp["id"], "left").select("t", "rep", "n", F.coalesce("component", "rep").alias("c"))
-        if r:
+        entries = lists.select("t", "rep", "n")
+        if comp is None:
+            entries = entries.withColumn("c", F.col("rep"))
+        else:
             # of what is left, only lists that still have two components
-            open_ = entries.withColumns({"lo": F.min("c").over(by_t), "hi": F.max("c").over(by_t)}).where("lo != hi")
-            entries = written(open_.select("t", "rep", "n", "c"), "shingle-lists")
-            lists = entries.select("t", "rep", "n")
-        pairs = written(one_each(entries, r) if r < rounds else remaining(entries), "shingle-pairs")
+            entries = entries.join(comp, entries["rep"] == comp["id"], "left").select("t", "rep", "n", F.coalesce("component", "rep").alias("c"))
+            entries = entries.withColumns({"lo": F.min("c").over(by_t), "hi": F.max("c").over(by_t)}).where("lo != hi").drop("lo", "hi")
+            entries = written(entries, "shingle-lists")
+            lists = entries
+        if r < rounds:
+            order = F.col("weight") if r == 0 else F.xxhash64(F.lit(r), "rep", "t")
+            pairs = one_each(entries.join(weight, "rep") if r == 0 else entries, order, r)
+        else:
+            pairs = remaining(entries, leads)
+        pairs = written(pairs, "shingle-pairs")
         if not pairs.head(1):
-            if r < rounds and r:
-                continue
-            if comp is None:
-                break
             continue
-        new = written(linked(pairs, docs, k), "shingle-links")
+        seen = written(compared(pairs, docs, k), "shingle-overlaps")
+        leads.append(led(seen, r))
+        new = seen.where("ok").select("a", "b")
         links = new if links is None else links.unionByName(new)
         comp = components(links, "shingle-components")
     groups = own.select("doc_id", "s1", "s2").join(first, ["s1", "s2"])
@@ -181,22 +201,33 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, hot: int = HOT, most_h
     return groups.join(sized, ["s1", "s2"]).select("doc_id", "n_shingles", "component_id").union(empty)
 
 
-def one_each(entries: DataFrame, r: int) -> DataFrame:
+def one_each(entries: DataFrame, order: Column, r: int) -> DataFrame:
     """For each document one other of about its size, of another component, that leads most of the lists they share."""
-    order = F.xxhash64(F.lit(r), "rep", "t")
-    leader = entries.groupBy("t").agg(F.min_by(F.struct("rep", "n", "c"), order).alias("lead"))
+    leader = entries.groupBy("t").agg(F.max_by(F.struct("rep", "n", "c"), F.struct(order, "rep")).alias("lead"))
     pairs = entries.join(leader, "t").where((F.col("c") != F.col("lead.c")) & alike_sizes(F.col("n"), F.col("lead.n")))
     pairs = pairs.groupBy(F.col("rep").alias("a"), F.col("lead.rep").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
     best = pairs.groupBy("a").agg(F.max(F.struct("shared", F.xxhash64(F.lit(r), "b").alias("h"), "b")).alias("best"))
     return best.select("a", F.col("best.b").alias("b"))
 
 
-def remaining(entries: DataFrame) -> DataFrame:
-    """All pairs of different components with T - L occurrences or more in the short lists."""
-    x = entries.select("t", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    y = entries.select("t", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    pairs = x.join(y, "t").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike_sizes(F.col("na"), F.col("nb")))
-    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+def remaining(entries: DataFrame, leads: list[DataFrame]) -> DataFrame:
+    """All pairs of different components with T - L occurrences or more in the short lists that their leaders don't rule out."""
+    for lead in leads:
+        entries = entries.join(lead, entries["rep"] == lead["id"], "left").drop("id")
+    own = [c for c in entries.columns if c not in ("t", "rep", "n", "c")]
+    x = entries.select("t", *(F.col(c).alias(f"x_{c}") for c in ("rep", "n", "c", *own)))
+    y = entries.select("t", *(F.col(c).alias(f"y_{c}") for c in ("rep", "n", "c", *own)))
+    nx, ny = F.col("x_n"), F.col("y_n")
+    t = F.ceil(F.lit(3) * (nx + ny) / 7)
+    ruled_out = F.lit(False)
+    rounds = sorted(int(c[4:]) for c in own if c.startswith("lead"))
+    for i in rounds:
+        for j in rounds:
+            a, b = F.col(f"x_in{i}"), F.col(f"y_in{j}")
+            bound = F.least(a, b) + F.least(nx - a, ny - b)
+            ruled_out = ruled_out | F.coalesce((F.col(f"x_lead{i}") == F.col(f"y_lead{j}")) & (bound < t), F.lit(False))
+    pairs = x.join(y, "t").where((F.col("x_rep") < F.col("y_rep")) & (F.col("x_c") != F.col("y_c")) & alike_sizes(nx, ny) & ~ruled_out)
+    pairs = pairs.groupBy(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first("x_n").alias("na"), F.first("y_n").alias("nb"))
     t = F.ceil(F.lit(3) * (F.col("na") + F.col("nb")) / 7)
     long_lists = F.ceil(F.lit(3) * F.greatest("na", "nb") / 4) - 1
     return pairs.where(F.col("shared") >= t - long_lists).select("a", "b")
