@@ -147,6 +147,35 @@ def test_line_dedup(docs, empty, spark):
     assert as_rows(line_dedup.line_dedup(near, distance=16, blocks=17), "doc_id", "n_dropped") == [(1, 0), (2, 1), (3, 0)]
 
 
+def test_line_dedup_finds_all_lines_that_are_alike(spark):
+    g = np.random.default_rng(6)
+    texts = []
+    for n in (3, 4, 8, 12, 20, 40, 80, 200):
+        for share in (0.0, 0.1, 0.25, 0.3):
+            for _ in range(6):
+                line = [f"w{int(x)}" for x in g.zipf(1.3, n) % 5000]
+                other = list(line)
+                for p in g.choice(n, max(1, int(share * n)), replace=False)[::-1]:
+                    kind = g.integers(3)
+                    other[p : p + 1] = [[f"x{g.integers(10**6)}"], [], [other[p], "y"]][kind] if p < len(other) else []
+                texts += [" ".join(line), " ".join(other)]
+    words = [t.split() for t in texts]
+    up = list(range(len(texts)))
+
+    def find(i):
+        return i if up[i] == i else find(up[i])
+
+    for j in range(len(texts)):
+        for i in range(j):
+            n = max(len(words[i]), len(words[j]))
+            if 4 * abs(len(words[i]) - len(words[j])) <= n and words[i] and words[j] and 4 * line_dedup.edits(words[i], words[j], n) <= n:
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    want = {i: int(bool(words[i]) and find(i) != i) for i in range(len(texts))}
+    got = dict(as_rows(line_dedup.line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "doc_id", "n_dropped"))
+    assert got == want and sum(want.values()) > 100
+
+
 def test_word_edits():
     g = np.random.default_rng(1)
     for _ in range(60):
