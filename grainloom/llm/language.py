@@ -26,7 +26,6 @@ HIDDEN = 8
 LONGEST = 24
 TRAIN_DOCS = 250
 TRAIN_WORDS = 50
-MOST_LANGS = 64
 #: Documents whose words are read together.
 ROWS = 2000
 LETTER = re.compile(r"[^\W\d_]")
@@ -171,18 +170,17 @@ class Net:
         return out
 
 
-def training_words(docs: DataFrame, train_docs: int, train_words: int, most_langs: int) -> pd.DataFrame:
-    """doc_id, lang and words of the documents to learn from: a bounded number of each of the most frequent languages."""
+def training_words(docs: DataFrame, train_docs: int, train_words: int) -> pd.DataFrame:
+    """doc_id, lang and words of the documents to learn from: a bounded number of each language."""
     own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
-    langs = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).select("lang")
     key = F.xxhash64("doc_id")
     # cut by hash range first, so that the window below sees few rows of a frequent language
     rows = own.select("doc_id", "lang", key.alias("k"))
-    counts = rows.join(F.broadcast(langs), "lang").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     share = F.least(F.lit(1.0), F.lit(2.0 * train_docs + 50) / F.col("n"))
     near = rows.join(F.broadcast(counts), "lang").where((F.pmod("k", F.lit(1 << 30)) / float(1 << 30)) < share)
     ids = near.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("k", "doc_id"))).where(F.col("r") <= train_docs)
-    ids = ids.select("doc_id").distinct()  # most_langs * train_docs rows at most
+    ids = ids.select("doc_id").distinct()  # train_docs rows a language at most
     sample = docs.join(F.broadcast(ids), "doc_id", "left_semi").where("lang is not null and text is not null")
     return sample.select("doc_id", "lang", "text").mapInPandas(partial(some_words, n=train_words), "doc_id long, lang string, words array<binary>").toPandas()
 
@@ -197,9 +195,9 @@ def some_words(batches, n: int):
         yield pdf[["doc_id", "lang"]].assign(words=out)
 
 
-def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_words: int = TRAIN_WORDS, most_langs: int = MOST_LANGS):
+def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_words: int = TRAIN_WORDS):
     """Languages and the trained network; None without labelled documents."""
-    sample = training_words(docs, train_docs, train_words, most_langs).sort_values(["lang", "doc_id"])
+    sample = training_words(docs, train_docs, train_words).sort_values(["lang", "doc_id"])
     langs = sorted(sample["lang"].unique())
     if not langs:
         return langs, None

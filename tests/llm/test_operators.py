@@ -263,6 +263,12 @@ def test_language(spark, sf_dir, docs, empty):
     assert language.predict(docs.withColumn("lang", F.lit(None).cast("string"))).where("lang_pred != 'und'").count() == 0
 
 
+def test_every_language_is_learned(spark):
+    rows = [(20 * i + j, f"word{i} other", f"l{i:02}") for i in range(70) for j in range(20)]
+    langs, net = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), train_docs=1, train_words=1)
+    assert langs == [f"l{i:02}" for i in range(70)] and net.classes == 70
+
+
 def test_gradients_of_the_gated_network():
     net = language.Net(3, hidden=3, seed=1)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
