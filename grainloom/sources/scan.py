@@ -100,9 +100,9 @@ def since(df: DataFrame, cursor: str, last: str | None) -> DataFrame:
 
 
 def next_page(how: str, url: str, page: dict, n: int, size: int, options: dict[str, str]) -> str | None:
-    """Where the next page is; a link to another host is refused."""
+    """Where the next page is; a link to another host is refused. By offset and page, one with fewer rows than size is the last; 0 if only an empty one is."""
     at = urllib.parse.urlsplit(url)
-    if how == "none" or (how in ("offset", "page") and n < size):
+    if how == "none" or (how in ("offset", "page") and n < max(1, size)):
         return None
     if how == "odata":
         to = page.get("@odata.nextLink") or page.get("odata.nextLink")
@@ -142,7 +142,11 @@ def fetched(url: str, headers: dict[str, str], tries: int = 4, wait: Callable[[f
 
 
 class HttpPages(DataSource):
-    """Records of a paged JSON interface as rows (page, record JSON). Option urls: one start for each partition, by lines."""
+    """Records of a paged JSON interface as rows (page, record JSON). Option urls: one start for each partition, by lines.
+
+    By offset and page, pages are read until one is empty; if page_size is given and a page has had that size, until one has less.
+    A read that would have to end before the last page, at max_pages or since a link leads back, is refused.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -171,8 +175,11 @@ class HttpReader(DataSourceReader):
             k, _, v = o["header"].partition(":")
             headers[k.strip()] = v.strip()
         url, n, seen = partition.value, 0, set()
+        most, size, full = int(o.get("max_pages", "100000")), int(o.get("page_size", "0")), False
         pause = 1 / float(o.get("requests_per_second", "4"))
-        while url and url not in seen:
+        while url:
+            if url in seen:
+                raise Refused(f"the pages lead back to {url}: the rows are incomplete")
             seen.add(url)
             page = json.loads(fetched(url, headers))
             rows = page
@@ -181,12 +188,13 @@ class HttpReader(DataSourceReader):
                     raise Refused(f"no {o['record_path']!r} in {url}")
                 rows = rows[part]
             rows = rows if isinstance(rows, list) else [] if rows is None else [rows]
+            if rows and n >= most:
+                raise Refused(f"more than max_pages={most} pages at {partition.value}: the rows are incomplete")
             for r in rows:
                 yield n, json.dumps(r)
             n += 1
-            if n >= int(o.get("max_pages", "100000")):
-                return
-            url = next_page(o.get("pagination", "none"), url, page if isinstance(page, dict) else {}, len(rows), int(o.get("page_size", "100")), o)
+            full = full or len(rows) >= size
+            url = next_page(o.get("pagination", "none"), url, page if isinstance(page, dict) else {}, len(rows), size if full else 0, o)
             time.sleep(pause if url else 0)
 
 

@@ -83,6 +83,31 @@ def test_http_pages(spark):
     server.shutdown()
 
 
+@pytest.mark.parametrize("how", ["offset", "page"])
+def test_http_pages_of_another_size_are_read_to_the_end(monkeypatch, how):
+    def page(url, headers):
+        at = dict(scan.urllib.parse.parse_qsl(scan.urllib.parse.urlsplit(url).query))
+        first = int(at["offset"]) if "offset" in at else 50 * (int(at.get("page", 1)) - 1)
+        return json.dumps([{"id": i} for i in range(first, min(first + 50, 120))]).encode()
+
+    monkeypatch.setattr(scan, "fetched", page)
+
+    def ids(**o):
+        reader = scan.HttpReader({"urls": "http://h/x", "pagination": how, "requests_per_second": "1000", **o})
+        return [json.loads(r)["id"] for _, r in reader.read(reader.partitions()[0])]
+
+    assert ids() == ids(page_size="100") == ids(page_size="50") == ids(max_pages="3") == list(range(120))
+    with pytest.raises(Refused, match="max_pages"):
+        ids(max_pages="2")
+
+
+def test_http_pages_that_lead_back_are_refused(monkeypatch):
+    monkeypatch.setattr(scan, "fetched", lambda url, headers: b'{"value": [1], "next_cursor": "q"}')
+    reader = scan.HttpReader({"urls": "http://h/x", "pagination": "cursor", "record_path": "value", "requests_per_second": "1000"})
+    with pytest.raises(Refused, match="lead back"):
+        list(reader.read(reader.partitions()[0]))
+
+
 def test_manifest(tmp_path):
     (tmp_path / "m.yaml").write_text("sources:\n  - {name: a, type: csv, config: {path: '${WHERE}/a.csv'}}\n")
     assert scan.manifest(str(tmp_path / "m.yaml"), {"WHERE": "/x"})[0]["config"]["path"] == "/x/a.csv"
