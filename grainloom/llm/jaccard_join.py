@@ -86,15 +86,15 @@ def hot_shingles(docs: DataFrame, k: int, hot: int, most: int) -> tuple[np.ndarr
 def indexed(batches, k: int, hot):
     """Of each document: n, the hash of its set (s1, s2), and its short lists: shingles in order, less the long lists.
 
-    In a batch, copies of a set have their short lists once.
+    In a batch, copies of a set have their short lists once, with the first row that has an id.
     """
     tokens, counts = hot.value
     for batch in batches:
         n, s1, s2, short, seen = [], [], [], [], set()
-        for s in shingle_sets(batch.column(1), k):
+        for s, known in zip(shingle_sets(batch.column(1), k), batch.column(0).is_valid().to_pylist(), strict=True):
             d = xxhash.xxh3_128_digest(s.tobytes())
             own = s[:0]
-            if len(s) and d not in seen:
+            if known and len(s) and d not in seen:
                 seen.add(d)
                 own = s
                 if len(tokens):

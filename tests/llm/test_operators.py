@@ -105,6 +105,12 @@ def test_jaccard_join(docs, empty, hot):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
+def test_jaccard_join_with_a_copy_without_id_first(spark):
+    rows = [(None, BASE), (2, BASE), (1, BASE.replace("twenty", "20"))]
+    got = as_rows(jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)), "doc_id", "component_id")
+    assert got == [(1, 1), (2, 1), (None, None)]
+
+
 def test_jaccard_join_of_a_large_near_group(spark):
     g = np.random.default_rng(4)
     base = [f"w{i}" for i in range(60)]
