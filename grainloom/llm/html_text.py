@@ -6,6 +6,7 @@ trained in numpy by backpropagation through time, reads all blocks of a page and
 It is trained on pages that are drawn from the layouts described below; nothing of the corpus is looked at.
 
 Defined cases: null and empty html give an empty text; scripts, styles, comments and unseen elements hold no text;
+an svg, math, object, canvas or iframe tag that ends in /> holds nothing;
 elements left open end where their parent ends, an open paragraph where the next block begins; a tag cut off by the
 end of the page is dropped; repeated rows give repeated rows; an empty table gives an empty result; extra columns are
 ignored. White space is what Unicode calls so.
@@ -34,9 +35,11 @@ BLOCK = frozenset(
     "main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
 HIDDEN_TAGS = "script|style|noscript|template|svg|iframe|textarea|object|canvas|math"
+#: Of those, the ones that hold nothing if their tag ends in />.
+EMPTY_TAGS = "svg|iframe|object|canvas|math"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<hide>{HIDDEN_TAGS})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=hide)\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<(?!(?:{EMPTY_TAGS})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?<=/)>)(?P<hide>{HIDDEN_TAGS})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=hide)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>|<[a-zA-Z/!?][^>]*>|<[a-zA-Z/!][^<>]*\Z|(?P<text>[^<]+|<)",
     re.S | re.I,
 )

@@ -347,6 +347,12 @@ def test_pages(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tag", ['svg class="icon"', "math", 'object data="a/b>"', "iframe src='x' ", "canvas"])
+def test_pages_with_self_closed_elements(tag):
+    own = [b.text for b in html_text.blocks(f"<p>one <{tag}/>two</p><p>three</p><{tag}>no<b>no</b></{tag.split()[0]}><p>four</p><script src='x'/>no</script><p>five</p>")]
+    assert own == ["one two", "three", "four", "five"]
+
+
 def test_pages_held_out():
     draw, f, net = html_text.Pages(77), html_text.Features(), html_text.trained()
     ok = n = 0
