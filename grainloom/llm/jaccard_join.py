@@ -2,8 +2,10 @@
 
 Two sets of n and m shingles link if they share T = ceil(3 (n + m) / 7) or more. As in DivideSkip, a document's
 lists are divided: the long lists are those of its L most frequent shingles, L = ceil(3 n / 4) - 1, the short ones are
-the rest. The short lists are merged, here by Spark's grouped counts over (shingle, document) pairs; documents with
-T - L occurrences or more remain, and the long lists are probed for them by binary search.
+the rest. Inverted lists are stored in blocks of about BLOCK documents of similar size. A task merges a document's short
+lists by a heap, counts how often each other document occurs, and retains those that can still reach T with what comes
+after their last occurrence in both (T - L occurrences or more, by position). For these, all shingles, the long lists'
+included, are probed by binary search.
 
 What the corpus may hold much of is kept out of the pairs, and no link is lost:
 - documents with equal sets are one document, the one with the smallest id;
@@ -11,10 +13,7 @@ What the corpus may hold much of is kept out of the pairs, and no link is lost:
   lists; the order decides what is merged and what is probed, never the result;
 - since a component is asked for, documents that are known to be in one component need no link between them: in a
   few rounds each document is compared with a leader of a list it shares, the one whose lists are longest at first,
-  and then all remaining pairs of different components are merged and probed;
-- what two documents have in common with the same leader bounds what they have in common: at most the smaller of the
-  two overlaps inside the leader, and the smaller of the two rests outside of it. Pairs below T by this bound can't
-  link, so the outliers of a large group aren't probed against all of it.
+  and then the rest, of different components, are searched as above.
 
 Defined cases: null or blank text has no shingles and links with nothing; a text of fewer than five words has one
 shingle; equal sets link; a row without an id has no component; rows that repeat an id and its text are one document,
@@ -24,6 +23,7 @@ Shingles are compared by 64-bit hashes, sets by 128-bit hashes.
 
 from __future__ import annotations
 
+import heapq
 from functools import partial
 
 import numpy as np
@@ -41,6 +41,8 @@ HOT, MOST_HOT = 24, 200_000
 CHUNK = 1_500_000
 #: Rounds in which documents are compared with one member of a list.
 ROUNDS = 2
+#: Documents in a block of an inverted list, about.
+BLOCK = 256
 #: Buckets of ids by which texts are filtered before they are shuffled.
 BUCKETS = 1 << 20
 
@@ -140,14 +142,6 @@ def compared(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(partial(probed, k=k), "a long, b long, shared long, size long, ok boolean")
 
 
-def led(seen: DataFrame, r: int) -> DataFrame:
-    """Of each document of a round its leader and what they share; a leader that follows none leads itself."""
-    names = ("id", f"lead{r}", f"in{r}")
-    followers = seen.groupBy("a").agg(F.first("b").alias("b"), F.first("shared").alias("shared")).toDF(*names)
-    leaders = seen.groupBy("b").agg(F.first("size").alias("size")).select("b", F.col("b").alias("b2"), "size").toDF(*names)
-    return followers.union(leaders.join(followers, "id", "left_anti").select(*names))
-
-
 def alike_sizes(n: Column, m: Column) -> Column:
     return (4 * n >= 3 * m) & (4 * m >= 3 * n)
 
@@ -161,20 +155,19 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, hot: int = HOT, most_h
     own = index.where("n > 0 and doc_id is not null")
     first = own.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
     # lists with two sets or more
-    tokens = own.where(F.size("short") > 0).select("s1", "s2", "n", F.explode("short").alias("t"))
+    tokens = own.where(F.size("short") > 0).select("s1", "s2", "n", F.posexplode("short").alias("i", "t"))
     by_t = W.partitionBy("t")
     tokens = tokens.withColumns({"lo": F.min("s1").over(by_t), "hi": F.max("s1").over(by_t), "k": F.count(F.lit(1)).over(by_t)}).where("lo != hi")
-    lists = written(tokens.join(first, ["s1", "s2"]).groupBy("t", "rep", "n").agg(F.max("k").alias("k")), "shingle-lists")
+    lists = written(tokens.join(first, ["s1", "s2"]).groupBy("t", "rep", "n", "i").agg(F.max("k").alias("k")), "shingle-lists")
     weight = lists.groupBy("rep").agg(F.sum("k").alias("weight"))
     links = comp = None
-    leads = []
     for r in range(rounds + 1):
-        entries = lists.select("t", "rep", "n")
+        entries = lists.select("t", "rep", "n", "i", "k")
         if comp is None:
             entries = entries.withColumn("c", F.col("rep"))
         else:
             # of what is left, only lists that still have two components
-            entries = entries.join(comp, entries["rep"] == comp["id"], "left").select("t", "rep", "n", F.coalesce("component", "rep").alias("c"))
+            entries = entries.join(comp, entries["rep"] == comp["id"], "left").select("t", "rep", "n", "i", "k", F.coalesce("component", "rep").alias("c"))
             entries = entries.withColumns({"lo": F.min("c").over(by_t), "hi": F.max("c").over(by_t)}).where("lo != hi").drop("lo", "hi")
             entries = written(entries, "shingle-lists")
             lists = entries
@@ -182,12 +175,11 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, hot: int = HOT, most_h
             order = F.col("weight") if r == 0 else F.xxhash64(F.lit(r), "rep", "t")
             pairs = one_each(entries.join(weight, "rep") if r == 0 else entries, order, r)
         else:
-            pairs = remaining(entries, leads)
+            pairs = remaining(entries)
         pairs = written(pairs, "shingle-pairs")
         if not pairs.head(1):
             continue
         seen = written(compared(pairs, docs, k), "shingle-overlaps")
-        leads.append(led(seen, r))
         new = seen.where("ok").select("a", "b")
         links = new if links is None else links.unionByName(new)
         comp = components(links, "shingle-components")
@@ -210,27 +202,78 @@ def one_each(entries: DataFrame, order: Column, r: int) -> DataFrame:
     return best.select("a", F.col("best.b").alias("b"))
 
 
-def remaining(entries: DataFrame, leads: list[DataFrame]) -> DataFrame:
-    """All pairs of different components with T - L occurrences or more in the short lists that their leaders don't rule out."""
-    for lead in leads:
-        entries = entries.join(lead, entries["rep"] == lead["id"], "left").drop("id")
-    own = [c for c in entries.columns if c not in ("t", "rep", "n", "c")]
-    x = entries.select("t", *(F.col(c).alias(f"x_{c}") for c in ("rep", "n", "c", *own)))
-    y = entries.select("t", *(F.col(c).alias(f"y_{c}") for c in ("rep", "n", "c", *own)))
-    nx, ny = F.col("x_n"), F.col("y_n")
-    t = F.ceil(F.lit(3) * (nx + ny) / 7)
-    ruled_out = F.lit(False)
-    rounds = sorted(int(c[4:]) for c in own if c.startswith("lead"))
-    for i in rounds:
-        for j in rounds:
-            a, b = F.col(f"x_in{i}"), F.col(f"y_in{j}")
-            bound = F.least(a, b) + F.least(nx - a, ny - b)
-            ruled_out = ruled_out | F.coalesce((F.col(f"x_lead{i}") == F.col(f"y_lead{j}")) & (bound < t), F.lit(False))
-    pairs = x.join(y, "t").where((F.col("x_rep") < F.col("y_rep")) & (F.col("x_c") != F.col("y_c")) & alike_sizes(nx, ny) & ~ruled_out)
-    pairs = pairs.groupBy(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first("x_n").alias("na"), F.first("y_n").alias("nb"))
-    t = F.ceil(F.lit(3) * (F.col("na") + F.col("nb")) / 7)
-    long_lists = F.ceil(F.lit(3) * F.greatest("na", "nb") / 4) - 1
-    return pairs.where(F.col("shared") >= t - long_lists).select("a", "b")
+def reaches(n, m, i):
+    """Whether sets of n and m can share T if the first one they share is at i of the n."""
+    return 7 * (n - i) >= 3 * (n + m)
+
+
+def blocks(entries: DataFrame) -> DataFrame:
+    """Inverted lists in blocks: t, least and greatest size, and the documents (rep, n, c, i), for those found by t."""
+    size = F.floor(F.log("n") * 8)  # sizes that differ by an eighth at most
+    part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("k") / BLOCK))
+    found = entries.where(reaches(F.col("n"), F.col("n"), F.col("i")))
+    found = found.groupBy("t", size.alias("size"), part.alias("part")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.collect_list(F.struct("rep", "n", "c", "i")).alias("docs"))
+    return found.select("t", "low", "high", "docs")
+
+
+def remaining(entries: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components, b the smaller set, whose merged short lists don't rule out that they share T."""
+    search = entries.select("t", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("i").alias("ia"))
+    n, c, i = F.col("na"), F.col("ca"), F.col("ia")
+
+    def found(d: Column) -> Column:
+        smaller = (d["n"] < n) | ((d["n"] == n) & (d["rep"] < F.col("a")))
+        return smaller & (d["c"] != c) & (4 * d["n"] >= 3 * n) & reaches(n, d["n"], i) & (7 * (d["n"] - d["i"]) >= 3 * (n + d["n"]))
+
+    rows = search.join(blocks(entries), "t").where((F.col("low") <= n) & (4 * F.col("high") >= 3 * n) & reaches(n, F.col("low"), i))
+    docs = F.array_sort(F.transform(F.filter("docs", found), lambda d: F.struct(d["rep"].alias("b"), d["n"].alias("nb"), d["i"].alias("ib"))))
+    rows = rows.select("a", "na", "ia", docs.alias("docs")).where(F.size("docs") > 0)
+    return rows.repartition("a").sortWithinPartitions("a").mapInArrow(merged, "a long, b long")
+
+
+def merged(batches):
+    """Rows (a, na, ia, docs) in order of a, docs in order of b: pairs that can share T by the occurrences of b in a's lists.
+
+    Only the lists of one document are held at a time.
+    """
+    a, lists, out = None, [], []
+    for batch in batches:
+        docs = batch.column(3)
+        ends = docs.offsets.to_numpy()
+        b, nb, ib = (docs.values.field(j).to_numpy() for j in range(3))
+        for r, (own, na, ia) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True)):
+            if own != a:
+                out += occurring(a, lists)
+                a, lists = own, []
+            at = slice(ends[r], ends[r + 1])
+            lists.append([(x, na, y, ia, z) for x, y, z in zip(b[at].tolist(), nb[at].tolist(), ib[at].tolist(), strict=True)])
+        if len(out) >= 10_000:
+            yield links(out)
+            out = []
+    yield links(out + occurring(a, lists))
+
+
+def occurring(a: int | None, lists: list) -> list:
+    out, last, times, end, sizes = [], None, 0, (0, 0), (0, 0)
+
+    def kept() -> bool:
+        return last is not None and 7 * (times + min(sizes[0] - end[0], sizes[1] - end[1]) - 1) >= 3 * sum(sizes)
+
+    for b, na, nb, ia, ib in heapq.merge(*lists):
+        if b != last:
+            if kept():
+                out.append((a, last))
+            last, times, end, sizes = b, 0, (0, 0), (na, nb)
+        times += 1
+        end = max(end, (ia, ib))
+    if kept():
+        out.append((a, last))
+    return out
+
+
+def links(pairs: list) -> pa.RecordBatch:
+    own = np.array(pairs, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(own[:, 0]), pa.array(own[:, 1])], ["a", "b"])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
