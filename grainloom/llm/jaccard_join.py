@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import shingle_sets, table, written
+from .common import mixed, shingle_sets, table, written
 from .components import components
 
 SHINGLE = 5
@@ -85,14 +85,38 @@ def hot_shingles(docs: DataFrame, k: int, hot: int, most: int) -> tuple[np.ndarr
     return t[order], n[order]
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of the numbers of shingles by buckets, a power of two and 2 n or more."""
+    n = max(256, 1 << (2 * len(s) - 1).bit_length())
+    at = mixed(s ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(n - 1)
+    return np.packbits(np.bincount(at.view(np.int64), minlength=n) & 1).tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """Bits that differ; the longer sketch is folded to the other's buckets."""
+    p, q = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    while len(q) > len(p):
+        q = q[: len(q) // 2] ^ q[len(q) // 2 :]
+    return int(np.bitwise_count(p ^ q).sum())
+
+
+def possible(batches):
+    """The pairs (a, b, na, nb, sketches) whose sketches don't rule out a link."""
+    for batch in batches:
+        n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+        bits = np.fromiter((differing(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)), np.int64, len(n))
+        keep = pa.array(7 * bits <= n)
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+
 def indexed(batches, k: int, hot):
-    """Of each document: n, the hash of its set (s1, s2), and its short lists: shingles in order, less the long lists.
+    """Of each document: n, the hash of its set (s1, s2), its sketch, and its short lists: shingles in order, less the long lists.
 
     In a batch, copies of a set have their short lists once, with the first row that has an id.
     """
     tokens, counts = hot.value
     for batch in batches:
-        n, s1, s2, short, seen = [], [], [], [], set()
+        n, s1, s2, short, sketches, seen = [], [], [], [], [], set()
         for s, known in zip(shingle_sets(batch.column(1), k), batch.column(0).is_valid().to_pylist(), strict=True):
             d = xxhash.xxh3_128_digest(s.tobytes())
             own = s[:0]
@@ -110,36 +134,38 @@ def indexed(batches, k: int, hot):
             s1.append(int.from_bytes(d[:8], "little", signed=True))
             s2.append(int.from_bytes(d[8:], "little", signed=True))
             short.append(own.view(np.int64))
+            sketches.append(sketch(s) if known and len(s) else None)
         kinds = [pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64())]
         lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, short)], dtype=np.int32), np.concatenate([*short, np.empty(0, np.int64)]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *kinds, lists], ["doc_id", "n", "s1", "s2", "short"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *kinds, lists, pa.array(sketches, pa.binary())], ["doc_id", "n", "s1", "s2", "short", "sketch"])
 
 
 def probed(batches, k: int):
-    """a, b, how many shingles they share, by binary search of the smaller set's in the larger, b's size, and if they link."""
+    """The pairs (a, b) that link: the smaller set's shingles are searched in the larger one, by halves."""
     for batch in batches:
-        shared, sizes, ok = [], [], []
+        ok = []
         for p, q in zip(shingle_sets(batch.column(2), k), shingle_sets(batch.column(3), k), strict=True):
-            sizes.append(len(q))
             if len(p) > len(q):
                 p, q = q, p
             at = np.searchsorted(q, p)
             at[at == len(q)] = 0
             both = int((q[at] == p).sum()) if len(p) else 0
-            shared.append(both)
             ok.append(both > 0 and 100 * both >= 75 * (len(p) + len(q) - both))
-        own = [batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ok, pa.bool_())]
-        yield pa.RecordBatch.from_arrays(own, ["a", "b", "shared", "size", "ok"])
+        keep = pa.array(ok, pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
 
-def compared(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """The pairs (a, b) with what they share. Only texts in the pairs' buckets of ids are shuffled."""
+def compared(pairs: DataFrame, docs: DataFrame, own: DataFrame, k: int) -> DataFrame:
+    """The pairs (a, b) that link. Only texts of pairs that the sketches don't rule out are shuffled, by buckets of ids."""
+    x, y = (own.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
+    pairs = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(possible, "a long, b long")
+    pairs = written(pairs.distinct(), "shingle-possible")
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int").alias("bucket")
     used = pairs.select(bucket("a")).union(pairs.select(bucket("b"))).distinct()  # BUCKETS rows at most
     texts = docs.select("doc_id", "text", bucket("doc_id")).join(F.broadcast(used), "bucket", "left_semi")
     one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(partial(probed, k=k), "a long, b long, shared long, size long, ok boolean")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(partial(probed, k=k), "a long, b long")
 
 
 def alike_sizes(n: Column, m: Column) -> Column:
@@ -150,7 +176,7 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, hot: int = HOT, most_h
     """doc_id, n_shingles and component_id of each document."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(hot_shingles(docs, k, hot, most_hot))
-    index = docs.select("doc_id", "text").mapInArrow(partial(indexed, k=k, hot=shared), "doc_id long, n long, s1 long, s2 long, short array<long>")
+    index = docs.select("doc_id", "text").mapInArrow(partial(indexed, k=k, hot=shared), "doc_id long, n long, s1 long, s2 long, short array<long>, sketch binary")
     index = written(index, "shingle-index")
     own = index.where("n > 0 and doc_id is not null")
     first = own.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
@@ -179,8 +205,7 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, hot: int = HOT, most_h
         pairs = written(pairs, "shingle-pairs")
         if not pairs.head(1):
             continue
-        seen = written(compared(pairs, docs, k), "shingle-overlaps")
-        new = seen.where("ok").select("a", "b")
+        new = written(compared(pairs, docs, own, k), "shingle-links")
         links = new if links is None else links.unionByName(new)
         comp = components(links, "shingle-components")
     groups = own.select("doc_id", "s1", "s2").join(first, ["s1", "s2"])
