@@ -17,6 +17,28 @@ def bucket(text: Column, n: int = 100) -> Column:
     return fnv1a(text) % n
 
 
+def within(at: Column, start: Column, days: int = 0, months: int = 0) -> Column:
+    """Whether a time is in the half-open window of so many months and days from start."""
+    end = F.date_add(F.add_months(start, months), days)
+    return (at >= start) & (at < end)
+
+
+def last_days(at: Column, now: Column, n: int) -> Column:
+    """Whether a time is one of the last n days, today included; later ones aren't."""
+    today = F.to_date(now)
+    return (F.to_date(at) > F.date_sub(today, n)) & (F.to_date(at) <= today)
+
+
+def age_seconds(at: Column, now: Column) -> Column:
+    """Whole seconds from at to now."""
+    return F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(at.cast("timestamp"))
+
+
+def code_tail(code: Column, skip: int) -> Column:
+    """A code without its first characters."""
+    return F.substring(code, F.lit(skip + 1), F.length(code))
+
+
 def normalised(v: Column) -> Column:
     """A vector of length 1; one of length 0 stays."""
     size = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))

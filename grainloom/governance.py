@@ -114,6 +114,10 @@ def answer(model: Model, query: SemanticQuery, policy: Policy, who: Principal, r
     return df if q.limit is None else df.limit(q.limit)
 
 
+def spend_by_tenant(spend: DataFrame) -> DataFrame:
+    return spend.groupBy("tenant").agg(F.sum("amount").alias("spent"))
+
+
 @dataclass
 class Governed:
     """Answers with a budget, an audit and a charge; `now` is given by the caller."""
@@ -132,7 +136,7 @@ class Governed:
         self.spend.append([(self.now(), tenant, -self.spent(tenant))])
 
     def by_tenant(self) -> DataFrame:
-        return self.spend.read().groupBy("tenant").agg(F.sum("amount").alias("spent"))
+        return spend_by_tenant(self.spend.read())
 
     def ask(self, query: SemanticQuery, who: Principal, cost: float = 1.0) -> DataFrame:
         def record(refused: bool, note: str, q: SemanticQuery) -> None:
@@ -143,8 +147,8 @@ class Governed:
             if limit is not None and self.spent(who.tenant) >= limit:
                 raise Forbidden(f"the budget of {who.tenant!r} is spent")
             df = answer(self.model, query, self.policy, who, self.resolve)
-        except Refused as e:
-            record(True, str(e), query)
+        except Exception as e:  # a planning error is recorded too
+            record(True, str(e) if isinstance(e, Refused) else f"{type(e).__name__}: {e}"[:500], query)
             raise
         record(False, "", query)
         self.spend.append([(self.now(), who.tenant, cost)])

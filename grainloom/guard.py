@@ -38,10 +38,9 @@ def raw_sql(spark: SparkSession, sql: str, cap: int = MAX_ROWS) -> DataFrame:
 
 
 def scanned_bytes(df: DataFrame) -> int:
-    """Size of the files that a plan reads. A relation read twice counts once."""
-    fs = df.sparkSession._jvm.org.apache.hadoop.fs.Path
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    return sum(fs(f).getFileSystem(conf).getFileStatus(fs(f)).getLen() for f in df.inputFiles())
+    """Size of what the optimised plan's relations read, after partitions are pruned, by the plan's own statistics."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def check_bytes(df: DataFrame, ceiling: int | None) -> None:

@@ -183,6 +183,20 @@ def same_answers(got: list[tuple], want: list[tuple], tol: float = 1e-6) -> bool
     return x == y and len(a) == len(b) and all(abs(i - j) <= tol * max(1.0, abs(j)) for i, j in zip(a, b, strict=True))
 
 
+def graded(cases: DataFrame) -> DataFrame:
+    """Of (category, want, got): cases, right and wrong ones, refusals, and the share that is right, by category."""
+    ok = F.col("want").eqNullSafe(F.col("got"))
+    return cases.groupBy("category").agg(
+        F.count(F.lit(1)).alias("cases"), F.count(F.when(ok, 1)).alias("right"), F.count(F.when(~ok & F.col("got").isNotNull(), 1)).alias("wrong"),
+        F.count(F.when(~ok & F.col("got").isNull(), 1)).alias("refused"), F.avg(ok.cast("double")).alias("accuracy"),
+    )
+
+
+def confusion(cases: DataFrame) -> DataFrame:
+    """How often each wanted answer was given as which; a refusal is a null."""
+    return cases.groupBy("want", "got").agg(F.count(F.lit(1)).alias("cases"))
+
+
 def category_floors(graded: DataFrame, floors: dict[str, float]) -> list[str]:
     """Categories of (category, ok) whose share of right answers is below its floor."""
     rows = graded.groupBy("category").agg(F.avg(F.col("ok").cast("double")).alias("share")).collect()

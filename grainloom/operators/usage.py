@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 
 def question_modes(asked: DataFrame) -> DataFrame:
@@ -16,31 +16,30 @@ def question_modes(asked: DataFrame) -> DataFrame:
 
 def adoption(audit: DataFrame) -> DataFrame:
     """user, role, asked, refused, metrics used. audit: user, role, metrics (array), refused."""
-    return audit.groupBy("user", "role").agg(
-        F.count(F.when(~F.col("refused"), 1)).alias("asked"),
-        F.count(F.when(F.col("refused"), 1)).alias("refused"),
-        F.size(F.array_distinct(F.flatten(F.collect_set("metrics")))).cast("long").alias("metrics_used"),
-    )
+    own = audit.groupBy("user", "role").agg(F.count(F.when(~F.col("refused"), 1)).alias("asked"), F.count(F.when(F.col("refused"), 1)).alias("refused"))
+    used = audit.select("user", "role", F.explode("metrics").alias("metric")).distinct().groupBy(F.col("user").alias("_user"), F.col("role").alias("_role")).agg(F.count("metric").alias("metrics_used"))
+    at = F.col("user").eqNullSafe(F.col("_user")) & F.col("role").eqNullSafe(F.col("_role"))
+    return own.join(used, at, "left").select("user", "role", "asked", "refused", F.coalesce("metrics_used", F.lit(0)).alias("metrics_used"))
 
 
 def metric_usage(audit: DataFrame) -> DataFrame:
     return audit.where(~F.col("refused")).select(F.explode("metrics").alias("metric")).groupBy("metric").agg(F.count(F.lit(1)).alias("times"))
 
 
-def lower_percentile(values: str, share: float) -> Column:
-    """The value at int(share * (n - 1)) of the sorted values: for groups of a bounded size."""
-    s = F.array_sort(F.collect_list(values))
-    return F.element_at(s, (F.floor(F.lit(share) * (F.size(s) - 1)) + 1).cast("int"))
-
-
 def latency(df: DataFrame, value: str, *by: str) -> DataFrame:
-    """p50, p95 and max by rank, through a window that sorts each group, so that groups may be large."""
+    """p50, p95 and max by rank, over the counts of each group's values, which are added up before they are sorted."""
     w = W.partitionBy(*by)
-    ranked = df.withColumns({"_r": F.row_number().over(w.orderBy(value)) - 1, "_n": F.count(F.lit(1)).over(w)})
-    at = lambda p: F.max(F.when(F.col("_r") == F.floor(F.lit(p) * (F.col("_n") - 1)), F.col(value)))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = counts.withColumns({"_to": F.sum("_c").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0)), "_n": F.sum("_c").over(w)})
+    at = lambda p: F.min(F.when(F.col("_to") > F.floor(F.lit(p) * (F.col("_n") - 1)), F.col(value)))
     return ranked.groupBy(*by).agg(at(0.5).alias("p50"), at(0.95).alias("p95"), F.max(value).alias("max"))
 
 
+def latest(runs: DataFrame, time: str, key: str, n: int) -> DataFrame:
+    """The n latest runs, of the same time the one with the greater key first."""
+    return runs.orderBy(F.desc(time), F.desc(key)).limit(n)
+
+
 def gap_rollup(gaps: DataFrame) -> DataFrame:
     """topic (lower case, one blank between words), customers and mentions. gaps: customer, text."""
     topic = F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " "))

@@ -39,6 +39,7 @@ class Proposal:
     change: Change
     proposer: str
     status: str = "pending"
+    after: dict[str, str] = field(default_factory=dict)
     rows: int = 0
     before: dict[str, str] = field(default_factory=dict)
 
@@ -118,8 +119,13 @@ class WriteBack:
         p = self.pending(id, user, role)
         if user == p.proposer:
             raise Forbidden("a proposal is decided by someone else")
-        p.before = {p.change.table: self.store.current()[p.change.table]}
-        self.store.commit({p.change.table: changed(self.store.table(p.change.table), p.change)})
+        table, t = p.change.table, self.allowed[p.change.table]
+        df = self.store.table(table)
+        if p.change.operation != "insert" and hit(df, p.change).limit(t.max_rows + 1).count() > t.max_rows:
+            raise Refused(f"more than {t.max_rows} rows would change by now")
+        p.before = {table: self.store.current()[table]}
+        p.after = self.store.write({table: changed(df, p.change)})
+        self.store.point(p.after)
         p.status = "committed"
 
     def reject(self, id: str, user: str, role: str) -> None:
@@ -131,13 +137,27 @@ class WriteBack:
         p.status = "rejected"
 
     def rollback(self, id: str) -> None:
-        """Back to the snapshot before; refused if the table has changed since."""
+        """Back to the snapshot before. If the table has changed since, only this proposal's rows go back; refused if they have changed too."""
         p = self.proposals[id]
         if p.status != "committed":
             raise Refused(f"{id} is {p.status}")
-        self.store.point(p.before)
+        table = p.change.table
+        if self.store.current()[table] == p.after[table]:
+            self.store.point(p.before)
+        else:
+            self.store.commit({table: self.undone(p)})
         p.status = "rolled back"
 
+    def undone(self, p: Proposal) -> DataFrame:
+        """The table of now with the rows that the proposal changed as they were before, by key."""
+        table, key = p.change.table, self.allowed[p.change.table].key
+        before, after, now = self.store.version(p.before[table]), self.store.version(p.after[table]), self.store.table(table)
+        came, gone = after.exceptAll(before), before.exceptAll(after)
+        deleted = gone.join(came.select(key), key, "left_anti").select(key)
+        if came.exceptAll(now).head(1) or now.join(deleted, key, "left_semi").head(1):
+            raise Refused(f"rows that {p.id} changed have been changed since")
+        return now.join(came.select(key), key, "left_anti").select(*now.columns).unionByName(gone)
+
 
 @dataclass(frozen=True)
 class Step:

@@ -44,7 +44,7 @@ def aggregate(m: Metric, model: Model) -> Column:
         time = next((d.column for d in model.dimensions.values() if d.entity == m.entity and d.type == "time" and m.time in (None, d.name)), None)
         if time is None:
             raise Refused(f"metric {m.name}: last_value needs a time dimension on {m.entity}")
-        return F.max_by(e, F.col(time))
+        return F.max_by(e, F.struct(F.col(time), e))  # of several at the latest time, the greatest
     return {"sum": F.sum, "count": F.count, "count_distinct": F.count_distinct, "avg": F.avg}[m.agg](e)
 
 

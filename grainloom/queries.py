@@ -10,17 +10,17 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from .catalog import Catalog
-from .functions import dot, normalised
-from .governance import Policy, Principal, RowRule, answer
+from .functions import age_seconds, code_tail, dot, last_days, normalised, within
+from .governance import Policy, Principal, RowRule, answer, spend_by_tenant
 from .grounding import chained, filtered_by
 from .guard import check_bytes
 from .model import Model
-from .operators import branch, landing, merge, profile, usage
+from .operators import branch, checks, landing, merge, profile, usage
 from .operators.write import updated_from
 from .plans.planner import plan
 from .plans.query import Filter, SemanticQuery
 from .rollout import simulated
-from .state import StateTable
+from .state import StateTable, shared_dir
 from .streaming import sync
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -391,12 +391,112 @@ def _(spark, d):
     return usage.metric_usage(asked(spark, d))
 
 
-@query("simulated_routing")
+@query("simulated_routing", "WITH k AS (SELECT 'user-' || CAST(range AS VARCHAR) AS k FROM range(10000)), b AS (SELECT list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(range(1, length(k) + 1), lambda i: CAST(ascii(substr(k, CAST(i AS INTEGER), 1)) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) % 4294967296) % 100 AS b FROM k) SELECT CASE WHEN b < 20 THEN 'canary' ELSE 'active' END AS version, CAST(count(*) AS BIGINT) AS keys FROM b GROUP BY 1")
 def _(spark, d):
     return simulated(spark, 10_000, 20)
 
 
+@query("question_accuracy", "WITH c AS (SELECT event_type AS category, event_id % 4 AS want, CASE WHEN event_id % 9 = 0 THEN NULL ELSE event_id % 5 END AS got FROM events) SELECT category, CAST(count(*) AS BIGINT) AS cases, CAST(count(*) FILTER (want = got) AS BIGINT) AS \"right\", CAST(count(*) FILTER (want <> got) AS BIGINT) AS wrong, CAST(count(*) FILTER (got IS NULL) AS BIGINT) AS refused, round(avg(CASE WHEN want = got THEN 1.0 ELSE 0.0 END), 4) AS accuracy FROM c GROUP BY 1")
+def _(spark, d):
+    return checks.graded(cases(spark, d))
+
+
+@query("question_confusion", "WITH c AS (SELECT event_id % 4 AS want, CASE WHEN event_id % 9 = 0 THEN NULL ELSE event_id % 5 END AS got FROM events) SELECT want, got, CAST(count(*) AS BIGINT) AS cases FROM c GROUP BY 1, 2")
+def _(spark, d):
+    return checks.confusion(cases(spark, d))
+
+
+def cases(spark, d):
+    e = table(spark, d, "events")
+    return e.select(F.col("event_type").alias("category"), (F.col("event_id") % 4).alias("want"), F.when(F.col("event_id") % 9 != 0, F.col("event_id") % 5).alias("got"))
+
+
+@query("spend_by_tenant", "SELECT 't' || CAST(user_id % 7 AS VARCHAR) AS tenant, round(sum(value), 4) AS spent FROM events GROUP BY 1")
+def _(spark, d):
+    spend = table(spark, d, "events").select(F.concat(F.lit("t"), (F.col("user_id") % 7).cast("string")).alias("tenant"), F.col("value").alias("amount"))
+    return spend_by_tenant(spend)
+
+
+@query("latest_runs", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20")
+def _(spark, d):
+    return usage.latest(table(spark, d, "orders"), "o_orderdate", "o_orderkey", 20).select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+
+
+# expressions of dates and codes
+@query("half_open_window", "SELECT o_orderkey FROM orders WHERE o_orderdate >= DATE '1996-01-31' AND o_orderdate < DATE '1996-01-31' + INTERVAL 1 MONTH + INTERVAL 3 DAY")
+def _(spark, d):
+    return table(spark, d, "orders").where(within(F.col("o_orderdate"), F.lit("1996-01-31").cast("date"), days=3, months=1)).select("o_orderkey")
+
+
+@query("last_thirty_days", "SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) > DATE '1997-06-15' - 30 AND CAST(o_orderdate AS DATE) <= DATE '1997-06-15'")
+def _(spark, d):
+    return table(spark, d, "orders").where(last_days(F.col("o_orderdate"), F.lit("1997-06-15").cast("date"), 30)).select("o_orderkey")
+
+
+@query("event_age", "SELECT event_id, CAST(floor(epoch(TIMESTAMP '2025-01-01 00:00:00')) - floor(epoch(ts)) AS BIGINT) AS age FROM events")
+def _(spark, d):
+    return table(spark, d, "events").select("event_id", age_seconds(F.col("ts"), F.lit("2025-01-01 00:00:00")).alias("age"))
+
+
+@query("code_parts", "SELECT c_custkey, substr(c_name, 5) AS tail, split_part(c_mktsegment || ':' || c_name, ':', 2) AS part FROM customer")
+def _(spark, d):
+    key = F.concat_ws(":", "c_mktsegment", "c_name")
+    return table(spark, d, "customer").select("c_custkey", code_tail(F.col("c_name"), 4).alias("tail"), F.split_part(key, F.lit(":"), F.lit(2)).alias("part"))
+
+
+@query("lineage_of_table", "SELECT event_id AS id FROM events WHERE event_type = 'click' OR event_id % 5 = 0")
+def _(spark, d):
+    e = table(spark, d, "events")
+    touched = F.when(F.col("event_id") % 5 == 0, F.array(F.lit("orders"), F.col("event_type"))).when(F.col("event_type") == "click", F.array(F.lit("orders"))).otherwise(F.array(F.col("event_type")))
+    return usage.lineage(e.select(F.col("event_id").alias("id"), F.to_json(F.struct(touched.alias("touched"))).alias("state")), "orders").select("id")
+
+
+@query("semi_join_references", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000)")
+def _(spark, d):
+    large = table(spark, d, "orders").where("o_totalprice > 100000").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, d, "customer").join(large, "c_custkey", "left_semi").select("c_custkey")
+
+
+@query("inferred_types", "SELECT o_orderkey AS id, CAST(CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_custkey END AS BIGINT) AS customer, o_orderstatus AS status, CAST(o_orderdate AS DATE) AS ordered, '0' || CAST(o_orderkey AS VARCHAR) AS code, o_orderkey % 2 = 0 AS even FROM orders")
+def _(spark, d):
+    from .sources.infer import infer, typed
+
+    o = table(spark, d, "orders")
+    text = o.select(
+        F.col("o_orderkey").cast("string").alias("id"),
+        F.when(F.col("o_orderkey") % 5 == 0, F.lit(" ")).otherwise(F.col("o_custkey").cast("string")).alias("customer"),
+        F.col("o_orderstatus").alias("status"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("ordered"),
+        F.concat(F.lit("0"), F.col("o_orderkey").cast("string")).alias("code"),
+        F.when(F.col("o_orderkey") % 2 == 0, "Yes").otherwise("f").alias("even"),
+    )
+    return typed(text, infer(text)).withColumn("ordered", F.to_date("ordered"))
+
+
+@query("csv_scan", "SELECT c_custkey, c_name, c_mktsegment FROM customer")
+def _(spark, d):
+    from .sources.scan import csv
+
+    path = f"{shared(spark)}/{uuid.uuid4().hex}"
+    table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment").write.option("header", True).csv(path)
+    return csv(spark, path)
+
+
+# last values: of several rows at the latest time, the greatest value
+metric("last_value_by_dim", "WITH m AS (SELECT c_mktsegment AS segment, o_orderdate AS t, o_totalprice AS v FROM orders JOIN customer ON o_custkey = c_custkey), l AS (SELECT segment, max(t) AS t FROM m GROUP BY 1) SELECT m.segment, round(max(v), 4) AS last_order_value FROM m JOIN l ON m.segment = l.segment AND m.t = l.t GROUP BY 1", "last_order_value", "segment")
+
+
 # streaming
+@query("pending_rows", "SELECT CAST(count(*) AS BIGINT) AS pending FROM events WHERE date_trunc('second', ts) > (SELECT max(date_trunc('second', ts)) FROM events WHERE event_id % 3 = 0 AND event_id <= (SELECT max(event_id) // 2 FROM events))")
+def _(spark, d):
+    tmp = f"{shared(spark)}/{uuid.uuid4().hex}"
+    e = table(spark, d, "events").select("event_id", F.date_trunc("second", "ts").alias("at"))
+    state = StateTable(spark, f"{tmp}/cursors", sync.CURSORS)
+    half = e.agg(F.floor(F.max("event_id") / 2)).first()[0]
+    sync.sync(e.where((F.col("event_id") % 3 == 0) & (F.col("event_id") <= half)), "events", "at", ["event_id"], f"{tmp}/events", state)
+    return spark.createDataFrame([(sync.pending(e, "at", state, "events"),)], "pending long")
+
+
 @query("stream_cursor_sync", "SELECT event_id, user_id, event_type, round(value, 4) AS value FROM events")
 def _(spark, d):
     tmp = f"{shared(spark)}/{uuid.uuid4().hex}"
@@ -420,8 +520,7 @@ def _(spark, d):
 
 
 def shared(spark: SparkSession) -> str:
-    """The folder that all executors see; only where none is set, one of our own."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    return shared_dir(spark)
 
 
 # extensions

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..errors import Refused
 
 #: Date layouts that are accepted, in this order.
-LAYOUTS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd", "MM/dd/yyyy", "yyyyMMdd")
+LAYOUTS = ("yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS]XXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd", "yyyyMMdd")
 KINDS = {"int": "bigint", "numeric": "decimal(38,10)", "date": "timestamp_ntz", "bool": "boolean", "text": "string"}
 
 

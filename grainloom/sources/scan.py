@@ -9,6 +9,7 @@ import time
 import urllib.error
 import urllib.parse
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterator
 
 import yaml
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..errors import Refused
+from ..state import shared_dir
 from .infer import infer, typed
 
 
@@ -81,8 +83,16 @@ def objects(spark: SparkSession, prefix: str) -> DataFrame:
 
 
 def jdbc(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:
-    """A query of a database whose driver is on the class path; give partitionColumn and bounds to read in parallel."""
-    return spark.read.format("jdbc").options(url=url, query=query, **options).load()
+    """A query of a database whose driver is on the class path; give partitionColumn, lowerBound, upperBound and numPartitions to read in parallel."""
+    return spark.read.format("jdbc").options(**jdbc_options(url, query, **options)).load()
+
+
+def jdbc_options(url: str, query: str, **options: str) -> dict[str, str]:
+    """The query as a table, since Spark's query option and partitionColumn rule each other out."""
+    parallel = [x for x in ("partitionColumn", "lowerBound", "upperBound", "numPartitions") if x in options]
+    if parallel and len(parallel) < 4:
+        raise Refused(f"a parallel read needs all of partitionColumn, lowerBound, upperBound and numPartitions; it has {', '.join(parallel)}")
+    return {"url": url, "dbtable": f"({query.strip().rstrip(';')}) source", **options}
 
 
 def kafka(spark: SparkSession, servers: str, topic: str, **options: str) -> DataFrame:
@@ -199,13 +209,15 @@ class HttpReader(DataSourceReader):
 
 
 def http(spark: SparkSession, urls: list[str], **options: str) -> DataFrame:
-    """Records of the pages as flat columns of text and numbers; the schema is the union over all records."""
+    """Records of the pages as flat columns of text and numbers; the schema is the union over all records.
+
+    Pages are fetched once: the records are written to the shared folder before their schema is read.
+    """
     spark.dataSource.register(HttpPages)
     rows = spark.read.format("http_pages").options(urls="\n".join(urls), **options).load()
-    schema = rows.agg(F.schema_of_json_agg("record")).first()[0] if hasattr(F, "schema_of_json_agg") else None
-    if schema is None:
-        schema = spark.read.json(rows.select("record").rdd.map(lambda r: r[0])).schema
-    return flatten(rows.select(F.from_json("record", schema).alias("r")).select("r.*"))
+    path = f"{shared_dir(spark)}/http-{uuid.uuid4().hex}"
+    rows.select("record").write.text(path)
+    return flatten(spark.read.json(path))
 
 
 FACTORIES: dict[str, Callable[..., DataFrame]] = {

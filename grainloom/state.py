@@ -13,6 +13,16 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .errors import Refused
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors see. One of our own only where all runs on this machine."""
+    own = spark.conf.get("spark.checkpoint.dir", None)
+    if not own and not spark.sparkContext.master.startswith("local"):
+        raise Refused("set spark.checkpoint.dir to a folder that all executors share")
+    return (own or "/tmp/checkpoints").rstrip("/")
+
 
 @dataclass
 class StateTable:
@@ -50,8 +60,11 @@ class Snapshots:
         with open(self.pointer, encoding="utf-8") as f:
             return json.load(f)
 
+    def version(self, id: str) -> DataFrame:
+        return self.spark.read.parquet(os.path.join(self.root, id))
+
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(os.path.join(self.root, self.current()[name]))
+        return self.version(self.current()[name])
 
     def write(self, tables: dict[str, DataFrame]) -> dict[str, str]:
         """Writes versions that nothing points to yet."""

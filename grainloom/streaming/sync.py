@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.landing import absent, first_per_key
 from ..state import StateTable
@@ -21,11 +21,23 @@ def last_cursor(state: StateTable, source: str) -> str | None:
     return r[0]
 
 
+def position(rows: DataFrame, cursor: str) -> Column:
+    """The cursor as text that sorts as its values do."""
+    c, kind = F.col(cursor), rows.schema[cursor].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    if isinstance(kind, T.IntegralType):  # from 0 up
+        return F.lpad((c.cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0")
+    if isinstance(kind, T.NumericType):
+        return F.lpad((c.cast("decimal(37,10)") + F.lit("1" + "0" * 26).cast("decimal(37,10)")).cast("string"), 39, "0")
+    return c.cast("string")
+
+
 def sync(rows: DataFrame, source: str, cursor: str, key: list[str], target: str, state: StateTable) -> int:
     """Lands the rows after the cursor in a Parquet table; the rows it got. Ties at the cursor are read again."""
     spark = rows.sparkSession
     last = last_cursor(state, source)
-    at = F.date_format(cursor, "yyyy-MM-dd HH:mm:ss.SSSSSS") if isinstance(rows.schema[cursor].dataType, (T.TimestampType, T.TimestampNTZType)) else F.lpad(F.col(cursor).cast("string"), 20, "0")
+    at = position(rows, cursor)
     new = rows.where(at >= last) if last is not None else rows
     n = land(new, key, target, spark)
     top = new.agg(F.max(at)).first()[0]
@@ -50,9 +62,9 @@ def land(new: DataFrame, key: list[str], target: str, spark: SparkSession) -> in
 
 
 def pending(rows: DataFrame, cursor: str, state: StateTable, source: str) -> int:
+    """How many rows are after the last cursor."""
     last = last_cursor(state, source)
-    at = F.lpad(F.col(cursor).cast("string"), 20, "0")
-    return rows.count() if last is None else rows.where(at > last).count()
+    return rows.count() if last is None else rows.where(position(rows, cursor) > last).count()
 
 
 def stream_into(stream: DataFrame, key: list[str], target: str, checkpoint: str, gate: Callable[[DataFrame], DataFrame] | None = None, available_now: bool = True, interval: str = "1 second"):
