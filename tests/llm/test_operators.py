@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F, types as T
 
@@ -189,6 +190,32 @@ def test_line_dedup_finds_lines_that_are_alike(spark):
         assert len(found) > 20 and np.mean([got[j] for j in found]) >= 0.75
 
 
+def test_lists_of_lines_by_neighbours():
+    """Lists against grouping by hand, over all sizes of batches, with copies of entries and with hot keys."""
+    g = np.random.default_rng(5)
+    for size in (1, 2, 3, 7, 1000):
+        for hot in ({}, {3: 99, 8: 77}):
+            rows = [(int(t), int(h)) for t, h in zip(g.integers(0, 12, 60), g.integers(0, 5, 60), strict=True)] + [(50, 1), (51, 2), (51, 2)]
+            keys = sorted((t, h % 2 if t in hot else 0, h) for t, h in rows)
+            batches = [pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys[a : a + size]], x) for i, x in enumerate((pa.int64(), pa.int32(), pa.int64()))], ["t", "salt", "h1"]) for a in range(0, len(keys), size)]
+            known = type("Known", (), {"value": (np.array(sorted(hot), np.int64), np.array([hot[t] for t in sorted(hot)], np.int64))})
+            got = [tuple(r.values()) for b in line_dedup.listed(iter(batches), known) for r in b.to_pylist()]
+            want = {}
+            for t, h in rows:
+                want.setdefault(t, set()).add(h)
+            want = [(t, h, hot.get(t, min(own))) for t, own in want.items() if t in hot or len(own) > 1 for h in own]
+            assert sorted(got) == sorted(want)
+
+
+def test_line_dedup_deals_out_hot_keys(spark, monkeypatch):
+    """Lines that nearly all share a key: the same result whether the key is known to be hot or not."""
+    docs = spark.createDataFrame([(i, BASE + f" {i % 40} tail") for i in range(120)], "doc_id long, text string")
+    plain = as_rows(line_dedup.line_dedup(docs), "doc_id", "n_dropped")
+    monkeypatch.setattr(line_dedup, "HOT_SAMPLE", 2)
+    monkeypatch.setattr(line_dedup, "HOT_LINES", 3)
+    assert as_rows(line_dedup.line_dedup(docs), "doc_id", "n_dropped") == plain
+
+
 def test_line_dedup_recall_on_the_corpus(spark, sf_dir):
     """All pairs of the corpus's lines against the links that the query's own parameters find, by band of similarity."""
     texts = [r["text"] for r in table(spark, sf_dir, "documents").select("text").collect()]
