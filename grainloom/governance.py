@@ -10,9 +10,10 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from datetime import datetime
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .errors import Forbidden, Refused
+from .guard import MAX_ROWS, raw_sql
 from .model import Model
 from .plans.planner import Resolver, plan
 from .plans.query import Filter, SemanticQuery
@@ -155,6 +156,21 @@ class Governed:
         return df
 
 
+    def raw(self, spark: SparkSession, sql: str, who: Principal, cap: int = MAX_ROWS) -> DataFrame:
+        """A read-only statement; it is recorded whether it is refused or not."""
+
+        def record(refused: bool, note: str) -> None:
+            self.audit.append([(self.now(), who.user, who.role, [], [], refused, note, sql, who.engagement, "raw")])
+
+        try:
+            df = raw_sql(spark, sql, cap)
+        except Exception as e:
+            record(True, str(e) if isinstance(e, Refused) else f"{type(e).__name__}: {e}"[:500])
+            raise
+        record(False, "")
+        return df
+
+
 @dataclass(frozen=True)
 class Threat:
     id: str

@@ -6,9 +6,11 @@ that names no metric is answered by a question back. A language model may be giv
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 
@@ -48,6 +50,47 @@ def retrieve(model: Model, question: str, k: int = 8) -> list[tuple[str, float]]
     return sorted((x for x in out if x[1] > 0), key=lambda x: (-x[1], x[0]))[:k]
 
 
+#: BM25: how soon repeated tokens count less, and how much the length of a text counts; the constant of rank fusion.
+K1, B, FUSE = 1.2, 0.75, 60
+
+
+def bm25(texts: dict[str, str], question: str) -> list[tuple[str, float]]:
+    """Names of texts that share tokens with the question, best first."""
+    own = {n: Counter(w for w in re.findall(r"[a-z0-9]+", t.lower()) if w in tokens(t)) + Counter(tokens(t) - set(re.findall(r"[a-z0-9]+", t.lower()))) for n, t in texts.items()}
+    mean = sum(map(Counter.total, own.values())) / max(len(own), 1) or 1
+    out = []
+    for n, c in own.items():
+        score = 0.0
+        for w in tokens(question) & c.keys():
+            has = sum(w in x for x in own.values())
+            score += math.log(1 + (len(own) - has + 0.5) / (has + 0.5)) * c[w] * (K1 + 1) / (c[w] + K1 * (1 - B + B * c.total() / mean))
+        if score:
+            out.append((n, score))
+    return sorted(out, key=lambda x: (-x[1], x[0]))
+
+
+def fused(*rankings: list[tuple[str, float]]) -> list[tuple[str, float]]:
+    """Reciprocal ranks of several rankings, added up."""
+    out: Counter = Counter()
+    for r in rankings:
+        for i, (n, _) in enumerate(r):
+            out[n] += 1 / (FUSE + i + 1)
+    return sorted(out.items(), key=lambda x: (-x[1], x[0]))
+
+
+def retrieve_fused(model: Model, question: str, k: int = 8) -> list[tuple[str, float]]:
+    """Metrics by the ranks that token shares and BM25 give them."""
+    texts = {m.name: " ".join((m.name.replace("_", " "), *m.synonyms, m.description)) for m in model.metrics.values()}
+    return fused(retrieve(model, question, len(texts)), bm25(texts, question))[:k]
+
+
+def exemplars(known: list[tuple[str, SemanticQuery]], question: str, k: int = 3, least: float = 0.2) -> list[tuple[str, SemanticQuery]]:
+    """Answered questions whose tokens are most like the question's, by Jaccard; none below `least`."""
+    q = tokens(question)
+    scored = [(len(q & (t := tokens(x))) / max(len(q | t), 1), x, query) for x, query in known]
+    return [(x, query) for s, x, query in sorted((y for y in scored if y[0] >= least), key=lambda y: (-y[0], y[1]))[:k]]
+
+
 def phrases(model: Model) -> list[tuple[str, str, str]]:
     out = [(p.lower(), "metric", m.name) for m in model.metrics.values() for p in (m.name, m.name.replace("_", " "), *m.synonyms)]
     out += [(p.lower(), "dimension", d.name) for d in model.dimensions.values() for p in (d.name, d.name.replace("_", " "), *d.synonyms)]
@@ -90,6 +133,31 @@ def follow_up(model: Model, before: SemanticQuery, question: str) -> SemanticQue
     return replace(before, group_by=tuple(dict.fromkeys((*before.group_by, *more.group_by))), time_grain=more.time_grain or before.time_grain)
 
 
+@dataclass
+class Conversation:
+    """Turns of one caller: a question is new, goes on from the query before, or answers what was asked back."""
+
+    model: Model
+    before: SemanticQuery | None = None
+    open: str = ""
+    turns: list[tuple[str, SemanticQuery | Clarify]] = field(default_factory=list)
+
+    def turn(self, question: str) -> SemanticQuery | Clarify:
+        if self.open:
+            out = ground(self.model, f"{self.open} {question}")
+            if isinstance(out, Clarify):
+                out = ground(self.model, question)
+        elif self.before is not None:
+            out = follow_up(self.model, self.before, question)
+        else:
+            out = ground(self.model, question)
+        self.open = question if isinstance(out, Clarify) else ""
+        if isinstance(out, SemanticQuery):
+            self.before = out
+        self.turns.append((question, out))
+        return out
+
+
 def critique(model: Model, question: str, q: SemanticQuery) -> tuple[str, str]:
     """pass, revise or ask, with the reason."""
     named = ground(model, question)

@@ -201,3 +201,36 @@ def category_floors(graded: DataFrame, floors: dict[str, float]) -> list[str]:
     """Categories of (category, ok) whose share of right answers is below its floor."""
     rows = graded.groupBy("category").agg(F.avg(F.col("ok").cast("double")).alias("share")).collect()
     return sorted(r["category"] for r in rows if r["share"] < floors.get(r["category"], floors.get("*", 0.0)))
+
+
+#: What a question is graded on, each a column of what was wanted and of what was got.
+AXES = ("metrics", "group_by", "filters", "grain", "answer")
+
+
+def axes(cases: DataFrame) -> DataFrame:
+    """Of (id, want_<axis>, got_<axis>): whether each axis is right, and all. Lists are compared as sets; two nulls are equal."""
+
+    def part(c: str):
+        return F.array_sort(F.array_distinct(c)) if cases.schema[c].dataType.typeName() == "array" else F.col(c)
+
+    ok = {a: part(f"want_{a}").eqNullSafe(part(f"got_{a}")) for a in AXES if f"want_{a}" in cases.columns}
+    out = cases.select("id", *(c.alias(f"{a}_ok") for a, c in ok.items()))
+    whole = F.lit(True)
+    for a in ok:
+        whole = whole & F.col(f"{a}_ok")
+    return out.withColumn("ok", whole)
+
+
+RUNS = "run long, id string, category string, ok boolean"
+
+
+def between_runs(runs: DataFrame, before: int, after: int) -> DataFrame:
+    """id and what became of it from one run to the other: broken, mended, new or gone. What stays as it is has no row."""
+    old, new = (runs.where(F.col("run") == n).select("id", F.col("ok").alias(c)) for n, c in ((before, "was"), (after, "ok")))
+    change = F.when(F.col("was").isNull(), "new").when(F.col("ok").isNull(), "gone").when(F.col("was") & ~F.col("ok"), "broken").when(~F.col("was") & F.col("ok"), "mended")
+    return old.join(new, "id", "full").select("id", change.alias("change")).where("change is not null")
+
+
+def history(runs: DataFrame) -> DataFrame:
+    """Cases and share of right ones by run."""
+    return runs.groupBy("run").agg(F.count(F.lit(1)).alias("cases"), F.avg(F.col("ok").cast("double")).alias("accuracy"))

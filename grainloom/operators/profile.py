@@ -1,4 +1,4 @@
-"""Profiles of tables: one aggregate pass a table, then judgement on its few numbers."""
+"""Profiles of tables: aggregate passes over a table, then judgement on its few numbers."""
 
 from __future__ import annotations
 
@@ -153,3 +153,21 @@ def shared_end(profiles: list[Profile]) -> object:
     """The day on which most tables stop."""
     days = [str(c.high)[:10] for p in profiles for c in p.columns if c.kind == "time" and c.high is not None]
     return max(sorted(set(days)), key=days.count) if days else None
+
+
+def surveyed(tables: dict[str, DataFrame]) -> DataFrame:
+    """The statistics of all columns of a database, with the table's name: one plan, whose tables are read side by side."""
+    parts = [column_stats(df).select(F.lit(name).alias("table"), "*") for name, df in sorted(tables.items())]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def summary(survey: DataFrame) -> DataFrame:
+    """By table: rows, columns, nulls in all of them, columns that are null throughout, and columns of one value."""
+    rows = F.col("rows")
+    return survey.groupBy("table").agg(
+        F.max(rows).alias("rows"), F.count(F.lit(1)).alias("columns"), F.sum("nulls").alias("nulls"),
+        F.count(F.when((rows > 0) & (F.col("nulls") == rows), 1)).alias("empty_columns"), F.count(F.when((F.col("low") == F.col("high")), 1)).alias("constant_columns"),
+    )

@@ -5,10 +5,12 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable
+from datetime import datetime, timedelta
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
+from .cache import Results
 from .catalog import Catalog
 from .functions import age_seconds, code_tail, dot, last_days, normalised, within
 from .governance import Policy, Principal, RowRule, answer, spend_by_tenant
@@ -486,6 +488,71 @@ def _(spark, d):
 metric("last_value_by_dim", "WITH m AS (SELECT c_mktsegment AS segment, o_orderdate AS t, o_totalprice AS v FROM orders JOIN customer ON o_custkey = c_custkey), l AS (SELECT segment, max(t) AS t FROM m GROUP BY 1) SELECT m.segment, round(max(v), 4) AS last_order_value FROM m JOIN l ON m.segment = l.segment AND m.t = l.t GROUP BY 1", "last_order_value", "segment")
 
 
+def axis_cases(spark, d):
+    e = table(spark, d, "events")
+    return e.select(
+        F.col("event_id").cast("string").alias("id"), F.array(F.lit("revenue"), F.col("event_type")).alias("want_metrics"), F.array(F.when(F.col("event_id") % 5 == 0, "orders").otherwise(F.col("event_type")), F.lit("revenue")).alias("got_metrics"),
+        F.when(F.col("event_id") % 2 == 0, "month").alias("want_grain"), F.when(F.col("event_id") % 6 != 1, F.when(F.col("event_id") % 2 == 0, "month")).otherwise("day").alias("got_grain"),
+    )
+
+
+@query("question_axes", "SELECT CAST(event_id AS VARCHAR) AS id, event_id % 5 <> 0 OR event_type = 'orders' AS metrics_ok, event_id % 6 <> 1 AS grain_ok, (event_id % 5 <> 0 OR event_type = 'orders') AND event_id % 6 <> 1 AS ok FROM events")
+def _(spark, d):
+    return checks.axes(axis_cases(spark, d))
+
+
+def runs(spark, d):
+    e = table(spark, d, "events").select(F.col("event_id").cast("string").alias("id"), "event_id")
+    first = e.where("event_id % 7 != 0").select(F.lit(1).cast("long").alias("run"), "id", F.lit("all").alias("category"), (F.col("event_id") % 3 != 0).alias("ok"))
+    return first.union(e.where("event_id % 11 != 0").select(F.lit(2).cast("long"), "id", F.lit("all"), F.col("event_id") % 4 != 0))
+
+
+@query("run_changes", "SELECT CAST(event_id AS VARCHAR) AS id, CASE WHEN event_id % 7 = 0 THEN 'new' WHEN event_id % 11 = 0 THEN 'gone' WHEN event_id % 3 <> 0 THEN 'broken' ELSE 'mended' END AS change FROM events WHERE NOT (event_id % 7 = 0 AND event_id % 11 = 0) AND (event_id % 7 = 0 OR event_id % 11 = 0 OR (event_id % 3 <> 0) <> (event_id % 4 <> 0))")
+def _(spark, d):
+    return checks.between_runs(runs(spark, d), 1, 2)
+
+
+@query("run_history", "SELECT CAST(1 AS BIGINT) AS run, CAST(count(*) AS BIGINT) AS cases, round(avg(CASE WHEN event_id % 3 <> 0 THEN 1.0 ELSE 0.0 END), 4) AS accuracy FROM events WHERE event_id % 7 <> 0 UNION ALL SELECT 2, CAST(count(*) AS BIGINT), round(avg(CASE WHEN event_id % 4 <> 0 THEN 1.0 ELSE 0.0 END), 4) FROM events WHERE event_id % 11 <> 0")
+def _(spark, d):
+    return checks.history(runs(spark, d))
+
+
+@query("survey_summary", "SELECT 'customer' AS \"table\", CAST(count(*) AS BIGINT) AS rows, CAST(5 AS BIGINT) AS columns, CAST(5 * count(*) - count(c_custkey) - count(c_name) - count(c_nationkey) - count(c_acctbal) - count(c_mktsegment) AS BIGINT) AS nulls, CAST(0 AS BIGINT) AS empty_columns, CAST(0 AS BIGINT) AS constant_columns FROM customer UNION ALL SELECT 'events', CAST(count(*) AS BIGINT), 4, CAST(4 * count(*) - 2 * count(event_id) - count(event_type) AS BIGINT), 1, 1 FROM events")
+def _(spark, d):
+    e = table(spark, d, "events").select("event_id", "event_type", F.lit("x").alias("same"), F.lit(None).cast("long").alias("void"))
+    e = e.withColumn("same", F.when(F.col("event_id").isNotNull(), F.col("same")))
+    return profile.summary(profile.surveyed({"customer": table(spark, d, "customer"), "events": e}))
+
+
+@query("date_evidence", "WITH v AS (SELECT 'day' AS \"column\", CASE WHEN o_orderkey % 9 = 0 THEN 'soon' WHEN o_orderkey % 4 = 0 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS value FROM orders UNION ALL SELECT 'code', strftime(o_orderdate, '%Y%m%d') FROM orders), x AS (SELECT unnest(['yyyy-MM-dd', 'yyyyMMdd']) AS layout) SELECT \"column\", layout, CAST(count(value) AS BIGINT) AS filled, CAST(count(CASE WHEN (layout = 'yyyyMMdd' AND \"column\" = 'code') OR (layout = 'yyyy-MM-dd' AND \"column\" = 'day' AND value <> 'soon') THEN value END) AS BIGINT) AS dates FROM v, x GROUP BY 1, 2")
+def _(spark, d):
+    from .sources.infer import date_evidence
+
+    day = F.when(F.col("o_orderkey") % 9 == 0, "soon").when(F.col("o_orderkey") % 4 != 0, F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return date_evidence(table(spark, d, "orders").select(day.alias("day"), F.date_format("o_orderdate", "yyyyMMdd").alias("code")))
+
+
+@query("stale_answer", "SELECT event_type, CAST(count(*) AS BIGINT) AS n, 'stale' AS label FROM events GROUP BY 1")
+def _(spark, d):
+    now = [datetime(2024, 1, 1)]
+    results = Results(spark, timedelta(minutes=5), timedelta(hours=1), lambda: now[0])
+    results.get("k", lambda: table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")))
+    now[0] += timedelta(minutes=6)
+    got = results.get("k", lambda: table(spark, d, "no_such_table"))
+    return got.rows.withColumn("label", F.lit(got.label))
+
+
+@query("stream_tail_start", "SELECT event_id, event_type FROM events WHERE event_id >= (SELECT max(event_id) // 2 FROM events)")
+def _(spark, d):
+    tmp = f"{shared(spark)}/{uuid.uuid4().hex}"
+    e = table(spark, d, "events").select("event_id", "event_type")
+    state = StateTable(spark, f"{tmp}/cursors", sync.CURSORS)
+    half = e.agg(F.floor(F.max("event_id") / 2)).first()[0]
+    sync.tail(e.where(F.col("event_id") <= half), "events", "event_id", state)
+    sync.sync(e, "events", "event_id", ["event_id"], f"{tmp}/events", state)
+    return spark.read.parquet(f"{tmp}/events")
+
+
 # streaming
 @query("pending_rows", "SELECT CAST(count(*) AS BIGINT) AS pending FROM events WHERE date_trunc('second', ts) > (SELECT max(date_trunc('second', ts)) FROM events WHERE event_id % 3 = 0 AND event_id <= (SELECT max(event_id) // 2 FROM events))")
 def _(spark, d):

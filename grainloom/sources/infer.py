@@ -72,3 +72,22 @@ def folded(df: DataFrame) -> DataFrame:
     if twice or "" in names:
         raise Refused(f"columns can't be told apart once folded: {twice or ['']}")
     return df.toDF(*names)
+
+
+def date_evidence(df: DataFrame, layouts: tuple[str, ...] = ("yyyy-MM-dd", "yyyyMMdd")) -> DataFrame:
+    """column, layout, filled, dates: of each text column how many values there are and how many are days of a layout, in one pass."""
+    text = [f.name for f in df.schema.fields if f.dataType.typeName() == "string"]
+    entries = [
+        F.struct(F.lit(c).alias("column"), F.lit(x).alias("layout"), F.when(F.trim(F.col(f"`{c}`")) != "", F.trim(F.col(f"`{c}`"))).alias("value"))
+        for c in text for x in layouts
+    ]
+    rows = df.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    day = F.when(F.length("value") == F.length("layout"), F.expr("try_to_timestamp(value, layout)"))
+    return rows.groupBy("column", "layout").agg(F.count("value").alias("filled"), F.count(day).alias("dates"))
+
+
+def retyped(df: DataFrame, least: float = 0.95, most_new_nulls: int = 0) -> DataFrame:
+    """Text columns of which `least` or more of the values are days become dates, if no more than so many values are lost."""
+    found = date_evidence(df).where((F.col("dates") >= least * F.col("filled")) & (F.col("dates") > 0) & (F.col("filled") - F.col("dates") <= most_new_nulls))
+    best = {r["column"]: r["layout"] for r in found.orderBy("column", "dates").collect()}  # a row a column and layout
+    return df.withColumns({c: F.expr(f"cast(try_to_timestamp(trim(`{c}`), '{x}') as date)") for c, x in best.items()}) if best else df

@@ -46,6 +46,12 @@ def sync(rows: DataFrame, source: str, cursor: str, key: list[str], target: str,
     return n
 
 
+def tail(rows: DataFrame, source: str, cursor: str, state: StateTable) -> None:
+    """Begins at the end: what is there now isn't landed by a first sync. A source that has a cursor keeps it."""
+    if last_cursor(state, source) is None and (top := rows.agg(F.max(position(rows, cursor))).first()[0]) is not None:
+        state.append([(source, top, 0, "tail")])
+
+
 def land(new: DataFrame, key: list[str], target: str, spark: SparkSession) -> int:
     new = first_per_key(new, key)
     try:

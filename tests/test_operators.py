@@ -1,12 +1,14 @@
 import http.server
 import json
 import threading
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F, types as T
 
+from grainloom import cache, grounding, queries
 from grainloom.errors import Forbidden, Refused
+from grainloom.governance import AUDIT, SPEND, Governed, Policy, Principal
 from grainloom.functions import bucket, dot, normalised
 from grainloom.grounding import Clarify, chained, critique, follow_up, ground, retrieve, settled, tokens
 from grainloom.model import Model
@@ -478,3 +480,63 @@ def test_ratio_over_three_grains(spark):
     JOIN (SELECT city, sum(loss) AS l FROM shrinkage JOIN stores USING (store_id) GROUP BY 1) USING (city)"""
     assert_same(df, sql, frames={k: v.toPandas() for k, v in frames.items()})
     assert isinstance(df.schema["per_sqm"].dataType, T.DoubleType)
+
+
+def test_results_are_kept_and_stand_in(spark):
+    now, made = [datetime(2024, 1, 1)], []
+    r = cache.Results(spark, timedelta(minutes=1), timedelta(minutes=10), lambda: now[0], most=2)
+
+    def make():
+        made.append(1)
+        return spark.range(len(made))
+
+    def fails():
+        raise ValueError("down")
+
+    assert (r.get("a", make).label, r.get("a", make).label, len(made)) == ("new", "kept", 1)
+    now[0] += timedelta(minutes=2)
+    old = r.get("a", fails)
+    assert (old.label, old.error, old.rows.count()) == ("stale", "ValueError: down", 1)
+    assert r.get("a", make).rows.count() == 2
+    now[0] += timedelta(minutes=11)
+    with pytest.raises(ValueError):
+        r.get("a", fails)
+    r.get("b", make), r.get("c", make)
+    assert list(r.known) == ["b", "c"]
+
+
+def test_scopes_differ_by_what_callers_may_see():
+    q = SemanticQuery(("revenue",))
+    ann, bob = Principal("ann", "sales", {"tenant": "t", "region": "ASIA"}), Principal("bob", "sales", {"tenant": "t", "region": "ASIA"})
+    assert cache.scope(q, ann) == cache.scope(q, bob)
+    others = [Principal("bob", "sales", {"tenant": "t", "region": "EUROPE"}), Principal("bob", "admin", {"tenant": "t", "region": "ASIA"}), Principal("bob", "sales", {"tenant": "u", "region": "ASIA"})]
+    assert len({cache.scope(q, p) for p in (ann, *others)} | {cache.scope(q, ann, "v2")}) == 5
+
+
+def test_raw_statements_are_recorded(spark, tmp_path):
+    g = Governed(queries.model(), Policy(), lambda e: None, StateTable(spark, f"file://{tmp_path}/audit", AUDIT), StateTable(spark, f"file://{tmp_path}/spend", SPEND), lambda: datetime(2024, 1, 1))
+    assert g.raw(spark, "select 1 as x", Principal("ann", "admin")).count() == 1
+    with pytest.raises(Refused):
+        g.raw(spark, "drop table x", Principal("ann", "admin"))
+    assert sorted((r["question"], r["refused"]) for r in g.audit.read().collect()) == [("drop table x", True), ("select 1 as x", False)]
+
+
+def test_dates_by_evidence(spark):
+    from grainloom.sources.infer import retyped
+
+    df = retyped(spark.createDataFrame([("2024-02-29", "20240101", "1"), (None, "20240230", "x"), (" 2023-01-01", "20240103", "")], "a string, b string, c string"))
+    assert [f.dataType.simpleString() for f in df.schema] == ["date", "string", "string"]
+    assert [str(r[0]) for r in df.collect()] == ["2024-02-29", "None", "2023-01-01"]
+
+
+def test_fused_retrieval_exemplars_and_turns():
+    m = queries.model()
+    assert "revenue" in dict(grounding.retrieve_fused(m, "total revenue", 3)) and grounding.bm25({"a": "x y"}, "zz") == []
+    assert grounding.fused([("a", 1), ("b", 1)], [("b", 9)])[0][0] == "b"
+    known = [("revenue by region", SemanticQuery(("revenue",), ("customer_region",))), ("orders placed each month", SemanticQuery(("orders",)))]
+    assert [x for x, _ in grounding.exemplars(known, "revenue of each region")] == ["revenue by region"] and grounding.exemplars(known, "weather") == []
+    c = grounding.Conversation(m)
+    assert isinstance(c.turn("hello there"), grounding.Clarify) and c.open
+    assert c.turn("revenue").metrics == ("revenue",) and not c.open
+    q = c.turn("by segment")
+    assert q.metrics == ("revenue",) and "segment" in q.group_by and len(c.turns) == 3
