@@ -79,9 +79,11 @@ def fused(*rankings: list[tuple[str, float]]) -> list[tuple[str, float]]:
 
 
 def retrieve_fused(model: Model, question: str, k: int = 8) -> list[tuple[str, float]]:
-    """Metrics by the ranks that token shares and BM25 give them."""
+    """Metrics by the ranks that token shares and BM25 give them; those whose name or synonym stands in the question come first."""
+    named = {m.name for m in model.metrics.values() if any(p.lower() in question.lower() for p in (m.name.replace("_", " "), *m.synonyms))}
     texts = {m.name: " ".join((m.name.replace("_", " "), *m.synonyms, m.description)) for m in model.metrics.values()}
-    return fused(retrieve(model, question, len(texts)), bm25(texts, question))[:k]
+    both = fused(retrieve(model, question, len(texts)), bm25(texts, question))
+    return sorted(both, key=lambda x: x[0] not in named)[:k]
 
 
 def exemplars(known: list[tuple[str, SemanticQuery]], question: str, k: int = 3, least: float = 0.2) -> list[tuple[str, SemanticQuery]]:
