@@ -10,7 +10,8 @@ are scored, from their whole texts.
 
 Defined cases: null text counts as empty; null lang or source is a value of its own; null labels are no labels; a
 document labelled twice takes the lower label; without labels of both kinds everything is accepted with the share
-of good labels (1 if there are none) as score; repeated rows give repeated rows; extra columns are ignored.
+of good labels (1 if there are none) as score; repeated rows give repeated rows; extra columns are ignored, and of
+columns to keep those that have a result's name.
 """
 
 from __future__ import annotations
@@ -167,6 +168,7 @@ def judged(batches, model, names):
 def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), accept: float = ACCEPT, **how) -> DataFrame:
     """The columns to keep with quality_score (0 to 1) and accepted, for each document."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **how))
+    keep = tuple(c for c in keep if c.lower() not in ("quality_score", "accepted"))
     rows = docs.select(*keep, *(F.col(c).alias(f"__op_{c}") for c in ("text", "lang", "source")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)]) + ", quality_score double"
     out = rows.mapInArrow(partial(judged, model=model, names=list(keep)), schema)
