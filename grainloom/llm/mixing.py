@@ -3,23 +3,26 @@
 Each document draws the exponential key -ln(u) / quality, where u is fixed by its id and the seed, so documents of
 higher quality come early. A source first gives as many complete epochs as fit in its target; then its documents
 are taken in the order of their keys until the words left are reached, the last one in part. A source may be most
-of the table: its keys are cut into ranges of about RANGE_ROWS documents, ranges are summed, and only rows inside
-a range are sorted together.
+of the table: its keys are counted in BINS bins, a bin is cut into ranges of about RANGE_ROWS documents, ranges are
+summed, and only rows inside a range are sorted together. Texts are read once; what follows works on written sizes
+and keys. Sources and the running sums of a source's ranges are one small row each, a source's in one task.
 
 Defined cases: null text has no words; null is a source of its own, the last; documents without words are taken
-with 0 words; a source without words has target 0; rows repeated with their id tie and are ordered by size; an empty
-table gives an empty result; extra columns are ignored.
+with 0 words; a source without words has target 0; rows repeated with their id tie and are ordered by size; rows
+without an id draw by their text; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import table
+from .common import table, written
 
 SEED = 17
 #: Documents in a range of keys.
 RANGE_ROWS = 1000
+#: Bins in which a source's keys are counted, even in key / (1 + key), which has no empty tail.
+BINS = 4096
 #: Most often a document is taken.
 MOST = 3
 
@@ -61,19 +64,25 @@ def targets(sources: DataFrame, most: int = MOST) -> DataFrame:
 
 def mix(docs: DataFrame, weight: Column | None = None, seed: int = SEED, most: int = MOST, range_rows: int = RANGE_ROWS) -> DataFrame:
     """doc_id, source, size, source_size, target, taken of each row; taken counts repeats."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+    drawn = F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.lit(seed), "doc_id")).otherwise(F.xxhash64(F.lit(seed), "text"))
+    u = (F.pmod(drawn, F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
     rows = docs.select(
         "doc_id",
         "source",
         words(F.col("text")).alias("size"),
         (-F.log(u) / (quality(F.col("text")) if weight is None else weight)).alias("key"),
     )
-    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
+    place = F.col("key") / (1 + F.col("key")) * BINS
+    rows = written(rows, "mix-keys").withColumn("bin", F.floor(place).cast("long")).withColumn("within", place - F.floor(place))
+    bins = written(rows.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("bin_rows")), "mix-bins")
+    sources = bins.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("bin_rows").alias("source_rows"))
     plan = targets(sources, most)
-    # 1 - exp(-key) rises with the key and is about even, so it cuts a source's keys into ranges
-    cut = F.floor((1 - F.exp(-F.col("key"))) * F.greatest(F.lit(1), F.ceil(F.col("source_rows") / range_rows))).cast("long")
-    p = plan.select(F.col("source").alias("_s"), "source_size", "source_rows", "target")
-    keyed = rows.join(p, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("cut", cut)
+    p = plan.select(F.col("source").alias("_s"), "source_size", "target")
+    p = bins.join(p, F.col("source").eqNullSafe(F.col("_s"))).select(F.col("source").alias("_s"), F.col("bin").alias("_b"), "bin_rows", "source_size", "target")
+    # inside a bin keys are about even, so its rows are cut by where they are in it
+    parts = F.greatest(F.lit(1), F.ceil(F.col("bin_rows") / range_rows))
+    cut = F.struct("bin", F.floor(F.col("within") * parts).cast("long").alias("part"))
+    keyed = rows.join(p, F.col("source").eqNullSafe(F.col("_s")) & (F.col("bin") == F.col("_b"))).drop("_s", "_b").withColumn("cut", cut)
     # running words of whole ranges, then inside each range
     ranges = keyed.groupBy("source", "cut").agg(F.sum("size").alias("words"))
     before = ranges.select(
