@@ -5,8 +5,9 @@ window only if it contains all of the window's shingles, so the necessary prefix
 shingles are ordered by how often they occur in the whole corpus, document positions are joined with the rarest
 shingles only, positional and length bounds place the window around the match, and all its words are compared.
 
-The benchmark's windows go to every task. A block of items holds BLOCK_CHARS characters at most (or one item);
-a larger benchmark is cut into blocks by item id, and the blocks follow each other in one pass over the documents.
+The distinct windows of the benchmark go to every task. A block of items holds BLOCK_CHARS characters at most (or one
+item) and is the only one that the driver holds; a larger benchmark is cut into blocks by item id, and the blocks
+follow each other in one pass over the documents, after a pass each for the counts.
 
 Defined cases: null or empty text has no words and no hits; items without an id or without words are left out;
 items repeated with their id count once; repeated documents give repeated rows; empty tables work; extra columns
@@ -26,7 +27,7 @@ from .common import ALNUM, mixed, runs, table
 
 WINDOW = 13
 SHINGLE = 4
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 16_000_000
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 STATE = "_spans binary, _items array<string>"
 
@@ -41,27 +42,40 @@ class Windows:
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW, shingle: int = SHINGLE):
         self.ids: dict[bytes, int] = {}
         self.items: list[str] = []
-        rows: dict[int, list[tuple[np.ndarray, int]]] = {}
+        rows: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for item, text in items:
-            w = np.array([self.ids.setdefault(x, len(self.ids) + 1) for x in words_of(text)], np.int64)
-            if not len(w):
+            own = words_of(text)
+            if not own:
                 continue
+            w = np.fromiter((self.ids.setdefault(x, len(self.ids) + 1) for x in own), np.int32, len(own))
             k = min(window, len(w))
-            rows.setdefault(k, []).extend((w[i : i + k], len(self.items)) for i in range(len(w) - k + 1))
+            rows.setdefault(k, []).append((w, np.int32(len(self.items))))
             self.items.append(item)
-        #: by window length: words of each window, the item of each
-        self.words = {k: np.stack([x for x, _ in v]) for k, v in rows.items()}
-        self.item = {k: np.array([i for _, i in v]) for k, v in rows.items()}
+        #: by window length: words of each distinct window, where its items begin, the items
+        self.words, self.first, self.item = {}, {}, {}
+        for k, own in rows.items():
+            all_ = np.concatenate([np.lib.stride_tricks.sliding_window_view(w, k) for w, _ in own])
+            of = np.repeat(np.array([i for _, i in own], np.int32), [len(w) - k + 1 for w, _ in own])
+            by = np.lexsort(all_.T[::-1])
+            all_, of = all_[by], of[by]
+            starts = np.flatnonzero(np.append(True, (all_[1:] != all_[:-1]).any(axis=1)))
+            self.words[k], self.first[k], self.item[k] = all_[starts], np.append(starts, len(of)), of
         self.shingle = shingle
         #: by shingle length: the distinct shingles of all windows
         codes: dict[int, list[np.ndarray]] = {}
         for k, w in self.words.items():
-            codes.setdefault(min(shingle, k), []).append(self.codes_in(w, min(shingle, k)).ravel())
+            codes.setdefault(min(shingle, k), []).append(np.unique(self.codes_in(w, min(shingle, k))))
         self.codes = {s: np.unique(np.concatenate(v)) for s, v in codes.items()}
 
     @staticmethod
     def codes_in(windows: np.ndarray, s: int) -> np.ndarray:
-        return np.stack([runs(mixed(w.astype(np.uint64)), s) for w in windows])
+        """Hashes of the shingles of windows, a row for each window."""
+        w = mixed(windows.astype(np.uint64))
+        n = w.shape[1] - s + 1
+        out = np.full((len(w), n), s, np.uint64)
+        for j in range(s):
+            out = mixed(out * np.uint64(0xC2B2AE3D27D4EB4F) + w[:, j : j + n])
+        return out
 
     def numbers(self, text: str | None) -> np.ndarray:
         w = words_of(text)
@@ -121,7 +135,8 @@ class Windows:
                 same[same] = numbers[start[same] + j] == self.words[k][window[same], j]
             start = start[same]
             spans.append(np.stack([start, start + k], axis=1))
-            items.update(np.unique(self.item[k][window[same]]).tolist())
+            for x in np.unique(window[same]).tolist():
+                items.update(self.item[k][self.first[k][x] : self.first[k][x + 1]].tolist())
         return np.concatenate(spans) if spans else np.empty((0, 2), np.int64), items
 
 
@@ -161,25 +176,25 @@ def corpus_counts(docs: DataFrame, shared) -> dict[int, np.ndarray]:
 
 
 def blocks(benchmark: DataFrame, block_chars: int):
+    """How many blocks of items there are, and a function that fetches one of them."""
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("id"), "text")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-chars // block_chars))
-    for b in range(n):
-        yield [(r["id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("id"), F.lit(n)) == b).distinct().collect()]
+    return n, lambda b: [(r["id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("id"), F.lit(n)) == b).distinct().collect()]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_chars: int = BLOCK_CHARS, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of each document, and the columns to keep."""
     spark = docs.sparkSession
-    todo = list(blocks(benchmark, block_chars))
+    n_blocks, block = blocks(benchmark, block_chars)
     rows = docs.select("doc_id", "text", *(F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep) if c not in ("doc_id", "text")))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     with_text = "text" in keep
-    for b, items in enumerate(todo):
-        windows = Windows(items, window, shingle)
+    for b in range(n_blocks):
+        windows = Windows(block(b), window, shingle)
         counts = corpus_counts(docs, spark.sparkContext.broadcast(windows)) if windows.codes else {}
         windows.order(counts)
-        last = b == len(todo) - 1
+        last = b == n_blocks - 1
         own = [f for f in rows.schema.fields if f.name.startswith("_keep_") or f.name == "text" and with_text]
         more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in own)
         rows = rows.mapInArrow(scan(spark.sparkContext.broadcast(windows), b == 0, last, [f.name for f in own]), SCHEMA + more if last else f"{kept}, {STATE}")
