@@ -7,6 +7,7 @@ It is trained on pages that are drawn from the layouts described below; nothing
 
 Defined cases: null and empty html give an empty text; scripts, styles, comments and unseen elements hold no text;
 an svg, math, object, canvas or iframe tag that ends in /> holds nothing;
+such an element without its end hides nothing, but for a script, style or textarea, which goes on to the end of the page;
 elements left open end where their parent ends, an open paragraph where the next block begins; a tag cut off by the
 end of the page is dropped; repeated rows give repeated rows; an empty table gives an empty result; extra columns are
 ignored. White space is what Unicode calls so.
@@ -38,11 +39,14 @@ HIDDEN_TAGS = "script|style|noscript|template|svg|iframe|textarea|object|canvas|
 #: Of those, the ones that hold nothing if their tag ends in />.
 EMPTY_TAGS = "svg|iframe|object|canvas|math"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Those that last to the end of the page if they have no end.
+RAW_TAGS = frozenset("script style textarea".split())
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?!(?:{EMPTY_TAGS})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?<=/)>)(?P<hide>{HIDDEN_TAGS})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=hide)\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<(?!(?:{EMPTY_TAGS})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?<=/)>)(?P<hide>{HIDDEN_TAGS})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>|<[a-zA-Z/!?][^>]*>|<[a-zA-Z/!][^<>]*\Z|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
+ENDS = {t: re.compile(rf"</{t}\s*>", re.I) for t in HIDDEN_TAGS.split("|")}
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PARTS = re.compile(r"[a-z]+")
 
@@ -70,7 +74,10 @@ def blocks(page: str | None) -> list[Block]:
                 out.append(Block(at, text, linked / shown))
         buffer, shown, linked = [], 0, 0
 
-    for m in TOKEN.finditer(page or ""):
+    page = page or ""
+    open_ended: set[str] = set()  # hidden elements that have no end in the rest of the page
+    tokens = TOKEN.finditer(page)
+    while (m := next(tokens, None)) is not None:
         text = m["text"]
         if text is not None:
             n = len(text.strip())
@@ -81,6 +88,17 @@ def blocks(page: str | None) -> list[Block]:
                 linked += n
             buffer.append(text)
             continue
+        hidden = m["hide"]
+        if hidden is not None:
+            hidden = hidden.lower()
+            end = None if hidden in open_ended else ENDS[hidden].search(page, m.end())
+            if end is not None:
+                tokens = TOKEN.finditer(page, end.end())
+            elif hidden in RAW_TAGS:
+                break
+            else:
+                open_ended.add(hidden)
+            continue
         tag = m["tag"]
         if tag is None:
             continue
