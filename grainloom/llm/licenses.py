@@ -1,17 +1,17 @@
 """Licence notices in paragraphs: a trained classifier, confirmed by comparison with templates.
 
 A multinomial logistic regression over the word 1- and 2-grams of a paragraph gives each licence family a probability.
-It is trained on variations of the notices below and on paragraphs that mention licences without granting one, which
-form the class `none`; n-grams that have no anchor word carry no weight, so that prose around a notice doesn't count.
+It is trained on variations of the notices below, on paragraphs that mention licences without granting one, which
+form the class `none`, and on notices of families that aren't told apart, which form the class `unknown`; n-grams that have no anchor word carry no weight, so that prose around a notice doesn't count.
 Logits are divided by a temperature fitted on variations kept apart. A prediction counts if its probability is at
-least SURE and the paragraph holds CONFIRMED of the word pairs of one of the family's notices; a paragraph that looks
-like a licence but isn't confirmed is `unknown`. The whole corpus is scored by DataFrame operations alone: the
+least SURE and the paragraph holds CONFIRMED of the word pairs of one of the family's notices; a paragraph that is of
+the class `unknown` or looks like a licence but isn't confirmed is `unknown`. The whole corpus is scored by DataFrame operations alone: the
 weights are a small table of n-grams (bounded by the notices below), joined with the n-grams of paragraphs.
 
 Defined cases: paragraphs are lines; null and blank texts have none; a document without a notice is `none` with
 probability 0; of several notices the most probable is the document's family, the first by name of equals, and all
-are listed; rows that repeat an id are read as one document and give a row each; rows without an id are `none`; an
-empty table gives an empty result; extra columns are ignored.
+are listed; rows that repeat an id are read as one document and give a row each; rows without an id are one document if
+their texts are equal; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,6 +49,14 @@ NONE = [
     "Apache helicopters were seen.", "A table was reserved for all guests.", "The general public was invited.", "The commons were open to all, a creative place.",
     "The copyright debate went on.", "Terms of use may change.", "Work is done under the bridge.", "A person obtaining a copy pays a fee.", "Mozilla released a browser.",
 ]
+#: Notices of other families, from which the class `unknown` is learned.
+OTHERS = [
+    "Licensed under the Eclipse Public License, version 2.0.", "SPDX-License-Identifier: EPL-2.0", "Distributed under the Boost Software License, Version 1.0.",
+    "Released under the zlib License.", "Licensed under the ISC License.", "SPDX-License-Identifier: ISC", "Released under the Artistic License 2.0.",
+    "Licensed under the Common Development and Distribution License.", "This font is licensed under the SIL Open Font License, Version 1.1.",
+    "Licensed under the European Union Public Licence.", "Licensed under the Microsoft Public License.", "Released under the PostgreSQL License.",
+    "Licensed under the Open Database License.", "Released under the Unlicense.", "Licensed under the Python Software Foundation License.", "Licensed under the Academic Free License version 3.0.",
+]
 FILLER = "the of and a in to it was by at as which this that for on with from here please see our page site notes about text work data more".split()
 #: Words that an n-gram needs at least one of to carry weight.
 ANCHORS = (
@@ -58,9 +66,6 @@ ANCHORS = (
 SEPARATOR = "[^a-z0-9]+"
 SURE, CONFIRMED = 0.5, 0.6
 VARIATIONS = 24
-SEPARATOR = "[^a-z0-9]+"
-SURE, CONFIRMED = 0.5, 0.6
-VARIATIONS = 24
 #: One of the anchors as a word of a lower-case text; by first letter, so that most words are left at once.
 HAS = "(?<![a-z0-9])(?:" + "|".join(f"{c}(?:{'|'.join(w[1:] for w in sorted(ANCHORS) if w[0] == c)})" for c in sorted({w[0] for w in ANCHORS})) + ")(?![a-z0-9])"
 
@@ -90,7 +95,7 @@ def examples(seed: int = 11) -> list[dict]:
     """Variations of the notices: words around them, words left out."""
     g, out = random.Random(seed), []
     families = sorted(NOTICES)
-    for label, notices in [*((i + 1, NOTICES[f]) for i, f in enumerate(families)), (0, NONE)]:
+    for label, notices in [*((i + 1, NOTICES[f]) for i, f in enumerate(families)), (0, NONE), (len(families) + 1, OTHERS)]:
         for notice in notices:
             for v in range(VARIATIONS // (4 if label == 0 else 1)):
                 words = notice.split()
@@ -134,35 +139,40 @@ def pairs_of(notice: str) -> set[str]:
 def licenses(docs: DataFrame, sure: float = SURE, confirmed: float = CONFIRMED) -> DataFrame:
     """doc_id, license, probability, template_share, families and n_notices of each document."""
     spark = docs.sparkSession
-    families = ["none", *sorted(NOTICES)]
+    families = ["none", *sorted(NOTICES), "unknown"]
     weights, intercepts = trained(spark)
     vocabulary = rows_of(spark, weights, "gram string, w array<double>")
     notices = [(f, pairs_of(n)) for f in sorted(NOTICES) for n in NOTICES[f]]
     templates = rows_of(spark, [{"gram": g, "template": i, "share": 1 / len(own)} for i, (_, own) in enumerate(notices) for g in sorted(own)], "gram string, template int, share double")
     family_of = F.array(*(F.lit(f) for f, _ in notices))
 
-    lower = docs.where("doc_id is not null").select("doc_id", F.lower("text").alias("low")).where(has_anchor(F.col("low")))
-    found = lower.select("doc_id", F.posexplode(F.split("low", "\n")).alias("paragraph", "p"))
+    # a document by its id, or by its text if it has none
+    key = F.coalesce(F.col("doc_id").cast("string"), F.sha2("text", 256)).alias("_key")
+    lower = docs.select(key, F.lower("text").alias("low")).where(has_anchor(F.col("low")))
+    found = lower.select("_key", F.posexplode(F.split("low", "\n")).alias("paragraph", "p"))
     # n-grams are made of paragraphs with an anchor only, also where Spark asks for their number before the filter
     own = F.when(has_anchor(F.col("p")), grams(F.col("p"))).otherwise(F.array().cast("array<string>"))
-    one = found.select("doc_id", "paragraph", F.explode(own).alias("gram")).distinct()
+    one = found.select("_key", "paragraph", F.explode(own).alias("gram")).distinct()
     n = len(families)
-    scores = one.join(F.broadcast(vocabulary), "gram").groupBy("doc_id", "paragraph").agg(*(F.sum(F.col("w")[c]).alias(f"z{c}") for c in range(n)))
+    scores = one.join(F.broadcast(vocabulary), "gram").groupBy("_key", "paragraph").agg(*(F.sum(F.col("w")[c]).alias(f"z{c}") for c in range(n)))
     z = F.array(*(F.col(f"z{c}") + F.lit(intercepts[c]) for c in range(n)))
-    scores = scores.select("doc_id", "paragraph", z.alias("z"))
+    scores = scores.select("_key", "paragraph", z.alias("z"))
     top = F.array_max("z")
-    scores = scores.select("doc_id", "paragraph", F.array_position("z", top).alias("at"), (1 / F.aggregate(F.transform("z", lambda x: F.exp(x - top)), F.lit(0.0), lambda a, x: a + x)).alias("probability"))
+    scores = scores.select("_key", "paragraph", F.array_position("z", top).alias("at"), (1 / F.aggregate(F.transform("z", lambda x: F.exp(x - top)), F.lit(0.0), lambda a, x: a + x)).alias("probability"))
     scores = scores.withColumn("family", F.element_at(F.array(*(F.lit(f) for f in families)), F.col("at").cast("int"))).where("family != 'none'")
-    alike = one.join(F.broadcast(templates), "gram").groupBy("doc_id", "paragraph", "template").agg(F.sum("share").alias("share"))
-    alike = alike.groupBy("doc_id", "paragraph", F.element_at(family_of, F.col("template") + 1).alias("family")).agg(F.max("share").alias("template_share"))
-    notes = scores.join(alike, ["doc_id", "paragraph", "family"], "left").withColumn("template_share", F.coalesce("template_share", F.lit(0.0)))
+    alike = one.join(F.broadcast(templates), "gram").groupBy("_key", "paragraph", "template").agg(F.sum("share").alias("share"))
+    alike = alike.groupBy("_key", "paragraph", F.element_at(family_of, F.col("template") + 1).alias("family")).agg(F.max("share").alias("template_share"))
+    notes = scores.join(alike, ["_key", "paragraph", "family"], "left").withColumn("template_share", F.coalesce("template_share", F.lit(0.0)))
     ok = (F.col("probability") >= sure) & (F.col("template_share") >= confirmed)
     notes = notes.withColumn("name", F.when(ok, F.col("family")).when(F.col("probability") >= sure, F.lit("unknown"))).where("name is not null")
     rank = F.struct((F.col("name") != "unknown").alias("known"), F.col("probability").alias("p"), F.col("template_share").alias("s"), "name")
-    per = notes.groupBy(F.col("doc_id").alias("_id")).agg(
+    per = notes.groupBy(F.col("_key").alias("_id")).agg(
         F.max(rank).alias("best"), F.array_join(F.sort_array(F.collect_set("name")), ",").alias("families"), F.count(F.lit(1)).alias("n_notices")
     )
-    return docs.select("doc_id").join(per, F.col("doc_id") == F.col("_id"), "left").select(
+    # texts are read again for rows without an id only
+    rows = docs.where("doc_id is not null").select("doc_id", F.col("doc_id").cast("string").alias("_key"))
+    rows = rows.unionByName(docs.where("doc_id is null").select("doc_id", key))
+    return rows.join(per, F.col("_key") == F.col("_id"), "left").select(
         "doc_id",
         F.coalesce("best.name", F.lit("none")).alias("license"),
         F.coalesce("best.p", F.lit(0.0)).alias("probability"),
