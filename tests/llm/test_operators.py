@@ -258,7 +258,7 @@ def test_word_edits():
 
 @pytest.mark.parametrize("block_chars", [32_000_000, 60])
 def test_decontamination(docs, empty, spark, block_chars):
-    items = [(1, BASE), (2, "short one"), (3, None), (4, "!!"), (None, BASE), (5, "twelve thirteen"), (5, "twelve thirteen")]
+    items = [(1, BASE), (2, "short one"), (3, None), (4, "!!"), (None, BASE), (5, "twelve thirteen"), (5, "twelve thirteen"), (6, "zero " + BASE), (7, "a a " * 20 + BASE)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
@@ -311,6 +311,28 @@ def test_mixing(docs, empty, spark):
     assert mixing.mix(empty).count() == 0
 
 
+@pytest.mark.parametrize("range_rows", [3, 1000])
+def test_mixing_takes_what_brute_force_takes(spark, range_rows):
+    words = F.array_join(F.array_repeat(F.lit("w"), (1 + F.col("id") % 7).cast("int")), " ")
+    own = spark.range(600).select(F.when(F.col("id") < 580, F.col("id")).alias("doc_id"), F.concat(words, F.lit(" x"), F.col("id").cast("string")).alias("text"), F.when(F.col("id") % 3 > 0, "hot").alias("source"))
+    # most of the source is junk, whose keys are far out
+    weight = F.when(F.coalesce("doc_id", F.lit(0)) % 10 > 0, 0.05).otherwise(1.0)
+    got = {r["text"]: r for r in mixing.mix(own, weight=weight, range_rows=range_rows).join(own.select("doc_id", "text"), "doc_id").collect()}
+    drawn = own.select("doc_id", "text", "source", weight.alias("q"), F.xxhash64(F.lit(mixing.SEED), "doc_id").alias("h"), F.xxhash64(F.lit(mixing.SEED), "text").alias("g")).collect()
+    keyed = [(-math.log(((r["h"] if r["doc_id"] is not None else r["g"]) % (1 << 52) + 0.5) / (1 << 52)) / r["q"], r) for r in drawn]
+    for source in ("hot", None):
+        rows = sorted(((k, r) for k, r in keyed if r["source"] == source), key=lambda x: x[0])
+        size = sum(len(r["text"].split()) for _, r in rows)
+        target = next(x["target"] for x in got.values() if x["source"] == source)
+        left, epochs = round(target % size), int(target // size)
+        for _, r in rows:
+            n = len(r["text"].split())
+            part = min(n, max(0, left))
+            left -= n
+            if r["text"] in got:
+                assert got[r["text"]]["taken"] == min(3 * n, epochs * n + part)
+
+
 def test_better_documents_come_earlier(spark):
     rows = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("a b c d").alias("text"), F.lit("s").alias("source"))
     more = rows.union(rows.select(F.col("doc_id") + 5000, "text", F.lit("t")).limit(500))
@@ -415,6 +437,14 @@ def test_pages_with_self_closed_elements(tag):
     assert own == ["one two", "three", "four", "five"]
 
 
+@pytest.mark.parametrize("tag", ["svg", "noscript", "iframe src=x", "object", "canvas", "math", "template"])
+def test_pages_with_elements_left_open(tag):
+    own = [b.text for b in html_text.blocks(f"<article><p>one<{tag}>two</p><p>three</p><svg>no</svg>{'<' + tag + '>' if tag != 'svg' else ''}<p>four</p></article>")]
+    assert own == ["one" + "two", "three", "four"] if tag != "svg" else own[0] == "one"
+    assert [b.text for b in html_text.blocks("<p>one</p><script>no<p>no</p>")] == ["one"]
+    assert len(html_text.blocks(f"<{tag}><p>x</p>" * 20_000)) == 20_000
+
+
 def test_pages_held_out():
     draw, f, net = html_text.Pages(77), html_text.Features(), html_text.trained()
     ok = n = 0
@@ -439,6 +469,10 @@ def test_licenses(spark, docs, empty):
     got = {r["doc_id"]: (r["license"], r["families"]) for r in licenses.licenses(df).collect()}
     assert got[1] == ("mit", "mit") and got[2] == ("gpl", "gpl") and got[3][1] == "apache,proprietary"
     assert got[5][0] == "bsd" and got[6] == ("none", "") and got[4][0] == "none"
+    others = [(None, "Released under the MIT License."), (None, None), (8, "SPDX-License-Identifier: EPL-2.0"), (9, "Released under the zlib License."), (10, "Licensed under the Fair Source License, version 9.")]
+    got = as_rows(licenses.licenses(spark.createDataFrame(others, "doc_id long, text string")), "doc_id", "license")
+    assert {(None, "mit"), (None, "none"), (8, "unknown"), (9, "unknown")} <= set(got) and len(got) == 5
+    assert dict(got)[10] in ("unknown", "none")  # a family that was never seen
     assert licenses.licenses(docs).where("license = 'none' and probability = 0").count() == len(ROWS)
     assert licenses.licenses(empty).count() == 0
 
@@ -464,3 +498,39 @@ def test_pipeline(spark, sf_dir):
     assert 0.6 * len(whole) < len(got) <= len(whole) and got["doc_id"].is_unique
     assert set(got["doc_id"]) <= set(whole["doc_id"]) and (got["taken"] <= 3 * got["size"]).all()
     assert math.isclose(got["taken"].sum(), got["size"].sum(), rel_tol=0.01)
+
+
+def test_stages_with_nulls_ties_and_clashing_names(spark, tmp_path, labels):
+    import corpus_pipeline
+
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("x", BASE.replace("one", "1"))], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clashing = ["quality_score", "accepted", "n_lines", "n_dropped", "component_id", "_other", "_text", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "taken", "size", "key", "t", "h1", "a.b"]
+    rows = [(i, text, lang, source, len(text or ""), *range(len(clashing))) for i, text, lang, source in ROWS]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` int" for c in clashing))
+    left = {}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, df, str(tmp_path))
+        assert stage(spark, df.limit(0), str(tmp_path)).count() == 0
+        if name != "mixing":
+            assert got.schema.names == df.schema.names
+            got = got.collect()
+            assert all(tuple(r)[5:] == tuple(range(len(clashing))) for r in got)
+            left[name] = [(r["doc_id"], r["text"]) for r in got]
+        else:
+            assert got.count() == len(rows)
+    # brute force: links of texts, windows of 13 words
+    sets = {i: sets_of(t) for i, t, *_ in ROWS if i is not None}
+    linked = lambda a, b: a and b and 100 * len(a & b) >= 75 * len(a | b)
+    group = {i: i for i in sets}
+    for _ in sets:
+        group = {i: min(group[j] for j in sets if j == i or linked(sets[i], sets[j])) for i in sets}
+    want = {(i, t) for i, t, *_ in ROWS if i is None or group[i] == i}
+    assert sorted(left["jaccard join"], key=repr) == sorted(want, key=repr)
+    wins = [" ".join(BASE.split()[i : i + 13]) for i in range(1, 8)]
+    hit = {i for i, t, *_ in ROWS if t and any(w in " ".join(t.lower().split()) for w in wins)}
+    assert sorted(left["decontamination"], key=repr) == sorted(((i, t) for i, t, *_ in ROWS if i not in hit), key=repr)
+    # of equal lines only the first of all is left
+    lines = Counter(x.lower() for i, t in left["line dedup"] if i is not None for x in set((t or "").split("\n")) if x.strip())
+    assert max(lines.values()) == 1 and lines["all of this is one long line that stands in two documents and is the same"] == 1
+    assert (None, BASE) in left["line dedup"] and (5, None) in left["line dedup"] and (6, "") in left["line dedup"]
